@@ -1,4 +1,6 @@
 """Named queries and the SQL that an independent engine runs for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillon.plans import causal, evaluation, learning, resampling, retrieval, similarity, tables, timeseries  # noqa: F401
+from quillon.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
