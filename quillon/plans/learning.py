@@ -1 +1,102 @@
-"""x"""
+"""Fitted models and sequential methods: rows of these can't be had from SQL, tests hold them against definitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.functions.arrays import total
+from quillon.io import table
+from quillon.operators import forecasting, learners, pca
+from quillon.plans.causal import frame
+from quillon.plans.registry import query, rounded
+from quillon.plans.timeseries import hours
+from quillon.sources import synthetic
+
+_X = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query()
+def pca_reconstruction(spark, sf_dir):
+    """Anomaly scores: PCA fitted on normal rows, reconstruction errors above a quantile of theirs."""
+    li = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    model = pca.fit(li.where("l_returnflag = 'N'"), _X, 0.7)
+    return rounded(pca.detect(model, li, li.where("l_returnflag = 'N'"), ["id", "l_returnflag"], 0.99).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("n_anomalies"), F.avg("error").alias("mean_error"), F.median("error").alias("median_error"), F.max("error").alias("max_error")))
+
+
+@query()
+def pca_components(spark, sf_dir):
+    """Components in order of variance, signs fixed by the largest loading."""
+    model = pca.fit(table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'"), _X, 1.0)
+    return spark.createDataFrame(model.rows(), "component int, feature string, loading double, variance_share double, cumulative double")
+
+
+@query()
+def logreg(spark, sf_dir):
+    """Balanced logistic regression on standardised columns, held-out scores by hash folds."""
+    return learners.held_out_scores(frame(spark, sf_dir), ["x1", "x2", "y"], "t", "c_custkey", "logistic")
+
+
+@query()
+def rf(spark, sf_dir):
+    """Random forest with balanced weights, held-out scores by hash folds."""
+    return learners.held_out_scores(frame(spark, sf_dir), ["x1", "x2", "y"], "t", "c_custkey", "forest")
+
+
+@query()
+def gbt(spark, sf_dir):
+    """Gradient-boosted trees, held-out scores by hash folds."""
+    return learners.held_out_scores(frame(spark, sf_dir), ["x1", "x2", "y"], "t", "c_custkey", "boosting")
+
+
+@query()
+def holt_winters(spark, sf_dir):
+    """Additive damped Holt-Winters forecasts of the last day of each series."""
+    return rounded(forecasting.holt_winters(hours(spark, sf_dir), 24, 24))
+
+
+@query()
+def recursive_forecast(spark, sf_dir):
+    """One model step at a time, each prediction clipped and fed back as a lag."""
+    return rounded(forecasting.recursive(hours(spark, sf_dir), 24))
+
+
+@query()
+def seasonal_decomposition(spark, sf_dir):
+    """Additive decomposition: centred moving average, hourly means of what is left, remainder."""
+    return rounded(forecasting.decompose(hours(spark, sf_dir), 24))
+
+
+@query()
+def avg_linkage(spark, sf_dir):
+    """Average-linkage clusters of label means."""
+    e = table(spark, sf_dir, "embeddings")
+    means = e.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).select("label", F.col("v.x").alias("v"))
+    return learners.average_linkage(means, "label", "v", 4)
+
+
+@query()
+def lsa_embed(spark, sf_dir):
+    """Latent semantic vectors of benchmark passages by a truncated SVD of their TF-IDF."""
+    from quillon.operators import retrieval
+
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return learners.lsa(retrieval.tfidf(b, min_df=1), 8)
+
+
+@query()
+def synth_flows(spark, sf_dir):
+    """Seeded synthetic network flows, normal and four kinds of attack."""
+    return synthetic.flows(spark, 2000, 200, seed=42).groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.sum("is_anomaly").alias("n_anomalies"), F.round(F.avg("bytes_sent"), 3).alias("mean_bytes"))
+
+
+@query()
+def synth_scm(spark, sf_dir):
+    """Seeded structural causal model with known individual effects."""
+    return synthetic.structural(spark, "observed_confounding", 2000, seed=7).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("mean_y"), F.round(F.avg("ite"), 4).alias("mean_effect"))
+
+
+@query()
+def synth_fuzzy(spark, sf_dir):
+    """Seeded clusters of fuzzy sets of constant cardinality."""
+    f = synthetic.fuzzy_clusters(spark, 300, seed=5, epsilon=0.1)
+    return f.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(total(F.col("v"))), 6).alias("least"), F.round(F.max(total(F.col("v"))), 6).alias("most"))
