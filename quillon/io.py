@@ -1,7 +1,9 @@
-"""Reading the Parquet tables that every query runs on."""
+"""Reading the Parquet tables that every query runs on, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,5 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return {name: table(spark, sf_dir, name) for name in names}
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read from there; a folder is made only where the session names none (local mode)."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quillon-"))
+    return df.checkpoint()

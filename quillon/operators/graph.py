@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.io import checkpointed
+
 
 def closure(edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """src, dst and the least number of steps, by one join a step over the pairs that are new."""
@@ -13,7 +15,7 @@ def closure(edges: DataFrame, max_depth: int = 10) -> DataFrame:
     step = edges.select(F.col("src").alias("_via"), F.col("dst").alias("_to"))
     for depth in range(2, max_depth + 1):
         further = fresh.join(step, F.col("dst") == F.col("_via")).select("src", F.col("_to").alias("dst")).distinct()
-        fresh = further.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)).cache()
+        fresh = checkpointed(further.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if not fresh.limit(1).count():
             break
         known = known.unionByName(fresh)
@@ -34,13 +36,13 @@ def audit(edges: DataFrame, order: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node of its component) of the nodes on edges (a, b). Labels spread along edges and jump to their label's label; each round is checkpointed."""
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")).checkpoint()
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = met.join(far, "label").select("node", "old", F.least("label", "far").alias("label")).checkpoint()
+        moved = checkpointed(met.join(far, "label").select("node", "old", F.least("label", "far").alias("label")))
         if not moved.where("label != old").limit(1).count():
             return moved.select("node", "label")
         labels = moved.select("node", "label")
