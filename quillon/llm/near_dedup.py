@@ -14,8 +14,10 @@ Work in a bucket is not quadratic. First, each bucket elects a pivot, the member
 (in rounds, ``SALT`` members at a time, so that no task holds a large bucket), and members are verified against it. Then
 only pairs whose documents are still in different classes are left: for them, the smaller class's members are compared
 with the larger class's in tiles of ``TILE`` rows, so links that a pivot doesn't show are found too. Before a text is
-fetched, the samples must agree in ``LEAST_EQUAL`` places, which a pair of similarity 0.8 misses with a probability of
-under 2e-4.
+fetched, the samples must agree in ``LEAST_EQUAL`` of 30 places, which a pair of similarity 0.8 misses with a probability
+of under 2e-4; documents that then still have someone close in another class get a longer signature, and its samples must
+agree in ``LONG_EQUAL`` of ``LONG_SAMPLES`` places (missed with a probability of under 1e-4), which leaves few pairs whose
+similarity is below 0.65.
 
 Defined cases: null texts are classes of their own (class_id is the doc_id); equal texts, empty ones too, share a class;
 a class's id is its smallest doc_id; rows without doc_id take their text's class, null if no row of it has an id;
@@ -49,7 +51,10 @@ SKETCH_BITS = 16
 SKETCH = 1 << SKETCH_BITS
 CHUNKS = 128
 SALT = 128
+BUCKET_TILE = 1000
 TILE = 200
+LONG_SAMPLES = 192
+LONG_EQUAL = 132
 ID_BUCKETS = 1 << 20
 
 
@@ -62,25 +67,26 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(1999)
     r, c = rng.gamma(2, 1, 1 << 16).astype(np.float32), rng.gamma(2, 1, 1 << 16)
     r = np.maximum(r, np.float32(1e-3))
-    return r, (1 / r).astype(np.float32), np.log(c).astype(np.float32), rng.integers(0, 1 << 64, SAMPLES, dtype=np.uint64)
+    return r, (1 / r).astype(np.float32), np.log(c).astype(np.float32), rng.integers(0, 1 << 64, SAMPLES + LONG_SAMPLES, dtype=np.uint64)
 
 
-def icws(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """SAMPLES consistent samples of a weighted set, each as a 32-bit hash of (shingle, level)."""
+def icws(shingles: np.ndarray, weights: np.ndarray, begin: int = 0, end: int = SAMPLES) -> np.ndarray:
+    """Consistent samples (of the numbers begin up to end) of a weighted set, each as a 32-bit hash of (shingle, level)."""
     r_of, inverse, log_c, seeds = _tables()
-    log_w, out, best = np.log(weights).astype(np.float32), np.empty(SAMPLES, np.uint32), np.full(SAMPLES, np.inf, np.float32)
+    seeds, n = seeds[begin:end], end - begin
+    log_w, out, best = np.log(weights).astype(np.float32), np.empty(n, np.uint32), np.full(n, np.inf, np.float32)
     for a in range(0, len(shingles), 4096):
         s, lw = shingles[a : a + 4096], log_w[a : a + 4096]
         h = (s[None, :] ^ seeds[:, None]) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        parts = h.view(np.uint16).reshape(SAMPLES, -1, 4)
+        parts = h.view(np.uint16).reshape(n, -1, 4)
         i = parts[:, :, 3]
         r, beta = r_of[i], parts[:, :, 1] * np.float32(2**-16)
         level = np.floor(lw * inverse[i] + beta)
         cost = log_c[parts[:, :, 2]] - r * (level - beta + 1)
         at = cost.argmin(1)
-        rows = np.arange(SAMPLES)
+        rows = np.arange(n)
         low = cost[rows, at]
         won = low < best
         found = mixed(s[at] ^ (level[rows, at].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -181,9 +187,9 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """node, sig and key for each band of each node, in buckets of at least two."""
+    """node, sig, band and key for each band of each node, in buckets of at least two."""
     band = lambda b: F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS))
-    rows = nodes.where("sig is not null").select("node", "sig", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("key"))
+    rows = nodes.where("sig is not null").select("node", "sig", F.posexplode(F.array(*[band(b) for b in range(BANDS)])).alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return rows.join(shared, "key")
 
@@ -205,39 +211,25 @@ def _elect(rows: pa.Table) -> pa.Table:
 
 def pivots(members: DataFrame) -> DataFrame:
     """key, pivot, pivot_sig for each bucket; members is a stage table with key, node, sig, size."""
-    spark = members.sparkSession
     left = members.select("key", "node", "sig", "size")
 
-    def elect(batches):  # rows come sorted by key and salt
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            keys = np.stack([np.asarray(held.column("key")), np.asarray(held.column("salt"))], 1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            if not len(cuts):
-                continue
-            yield from _each(held, np.concatenate([[0], cuts]))
-            held = held.slice(int(cuts[-1]))
-        if held is not None and len(held):
-            yield from _each(held, np.array([0, len(held)]))
-
-    def _each(table, at):
-        sizes = np.diff(at)
-        nodes = np.asarray(table.column("node"))
-        chosen = [int(a) + int(nodes[a : a + 2].argmin()) if n == 2 else int(a) if n == 1 else None for a, n in zip(at[:-1], sizes, strict=True)]
-        for k, (a, n) in enumerate(zip(at[:-1], sizes, strict=True)):
-            if n > 2:
-                part = _elect(table.slice(int(a), int(n)).append_column("place", pa.array(np.arange(a, a + n), pa.int64())))
-                chosen[k] = part.column("place")[0].as_py()
-        yield from table.take(pa.array(chosen, pa.int64())).select(["key", "node", "sig", "salt"]).combine_chunks().to_batches()
+    def elect(batches):
+        chosen = []
+        for group in _groups(batches, ("key", "salt")):
+            chosen.append(_elect(group))
+            if len(chosen) == 1000:
+                yield from _chosen(chosen)
+                chosen = []
+        yield from _chosen(chosen)
+
+    def _chosen(tables):
+        if tables:
+            yield from pa.concat_tables(tables).select(["key", "node", "sig", "salt"]).combine_chunks().to_batches()
 
     while True:
         parts = F.ceil(F.col("size") / SALT)
         salted = left.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "node"), parts).cast("int"))
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = salted.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "node")
-        left = staged(dealt.mapInArrow(elect, "key long, node long, sig binary, salt int"), "pivots")
+        left = staged(_dealt(salted, "key", "salt").mapInArrow(elect, "key long, node long, sig binary, salt int"), "pivots")
         sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
         if sizes.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0] <= 1:
             return left.select("key", F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig"))
@@ -300,84 +292,131 @@ def components(edges: DataFrame) -> DataFrame:
 # ---- links that pivots don't show ----
 
 
-def units(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, x): x and some member of the class share a bucket and enough samples, and x is in another, not larger class."""
+def _tiled(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several classes, in tiles: each row in a block of its own bucket, and those outside the bucket's largest class once more in each block, as asking rows (in blocks too)."""
     labelled = members.join(classes, "node")
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    rows = labelled.join(mixed_keys, "key").select("key", "node", "sig", "label", "class_size")
-    largest = rows.groupBy("key").agg(F.max(F.struct("class_size", "label")).alias("top"), F.count(F.lit(1)).alias("n")).select("key", F.col("top.label").alias("top"), "n")
-    rows = staged(rows.join(largest, "key").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")), "mixed")
-    # right: every row in its own block; left: rows outside the bucket's largest class, in blocks too, meet every block
-    block = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    right = rows.select("key", "node", "sig", "label", "class_size", F.lit(False).alias("asks"), block.alias("rb"), every.alias("lb"))
-    left = rows.where("label != top").select("key", "node", "sig", "label", "class_size", F.lit(True).alias("asks"), every.alias("rb"), block.alias("lb"))
-
-    def meet(batches):
-        held = None
+    parts = labelled.groupBy("key", "label", "class_size").agg(F.count(F.lit(1)).alias("n"))
+    shared = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes"), F.sum("n").alias("n"), F.max(F.struct("class_size", "label", "n")).alias("top")).where("n_classes > 1")
+    blocks = lambda n: F.ceil(n / BUCKET_TILE).cast("int")
+    sized = shared.select("key", F.col("top.label").alias("top"), blocks(F.col("n")).alias("right_blocks"), blocks(F.col("n") - F.col("top.n")).alias("left_blocks"))
+    rows = labelled.join(sized, "key")
+    own = lambda c: F.pmod(F.xxhash64(F.lit(9), "node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    kept = ("key", "band", "node", "sig", "label", "class_size")
+    right = rows.select(*kept, F.lit(False).alias("asks"), own("right_blocks").alias("rb"), every("left_blocks").alias("lb"))
+    left = rows.where("label != top").select(*kept, F.lit(True).alias("asks"), every("right_blocks").alias("rb"), own("left_blocks").alias("lb"))
+    return right.unionByName(left)
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def _groups(batches, names: tuple[str, ...]):
+    """Tables of the rows of equal keys, from batches sorted by them."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, table]) if held is not None else table
+        keys = np.stack([np.asarray(held.column(c)) for c in names], 1)
+        at = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield held.slice(int(a), int(b - a))
+        held = held.slice(int(at[-1]))
+    if held is not None and len(held):
+        yield held
+
+
+def _close(table: pa.Table):
+    """For each asking row of a tile: its place and those of close rows of other classes. A pair counts in the first band that it shares only."""
+    asks = np.asarray(table.column("asks"))
+    if not asks.any() or asks.all():
+        return
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, SAMPLES)
+    label, band, right = np.asarray(table.column("label")), table.column("band")[0].as_py(), np.flatnonzero(~asks)
+    theirs = sig[right]
+    for i in np.flatnonzero(asks):
+        same = theirs == sig[i]
+        near = np.flatnonzero((same.sum(1) >= LEAST_EQUAL) & (label[right] != label[i]))
+        if len(near):
+            first = same[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1)
+            near = near[first == band]
+        if len(near):
+            yield int(i), right[near]
+
+
+def loose_nodes(tiles: DataFrame) -> DataFrame:
+    """Nodes that are close to a node of another class."""
+
+    def run(batches):
+        for table in _groups(batches, ("key", "rb", "lb")):
+            found = {k for i, near in _close(table) for k in (i, *near.tolist())}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(table.column("node"))[sorted(found)])], ["id"])
+
+    return _dealt(tiles, "key", "rb", "lb").mapInArrow(run, "id long").distinct()
+
+
+def long_signatures(texts: DataFrame, idf) -> DataFrame:
+    """node, text, long_sig: LONG_SAMPLES more samples, 16 bits each."""
+
+    def run(batches):
+        table = idf.value
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            keys = np.stack([np.asarray(held.column(c)) for c in ("key", "rb", "lb")], 1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            at = np.concatenate([[0], cuts])
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                yield from _near(held.slice(int(a), int(b - a)))
-            held = held.slice(int(at[-1]))
-        if held is not None and len(held):
-            yield from _near(held)
-
-    def _near(table):
-        asks = np.asarray(table.column("asks"))
-        if not asks.any() or asks.all():
-            return
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, SAMPLES)
-        node, label, size = (np.asarray(table.column(c)) for c in ("node", "label", "class_size"))
-        found, r = set(), ~asks
-        for i in np.flatnonzero(asks):
-            close = ((sig[r] == sig[i]).sum(1) >= LEAST_EQUAL) & (label[r] != label[i])
-            for n, lab, s in zip(node[r][close].tolist(), label[r][close].tolist(), size[r][close].tolist(), strict=True):
-                if (s, lab) > (size[i], label[i]):  # the larger class is compared with the smaller class's members
-                    found.add((lab, int(node[i])))
-                else:
-                    found.add((int(label[i]), n))
-        if found:
-            a, b = zip(*sorted(found), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["class", "x"])
-
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = right.unionByName(left).repartition(n, "key", "rb", "lb").sortWithinPartitions("key", "rb", "lb")
-    return dealt.mapInArrow(meet, "class long, x long").distinct()
-
-
-def class_links(asked: DataFrame, classes: DataFrame, texts: DataFrame, sigs: DataFrame, idf) -> DataFrame:
-    """Edges (a, b) between x and a member of the class, for each unit (class, x) that has any. Classes are cut into tiles."""
+            for part in _text_slices(batch):
+                sigs = [(icws(s, w, SAMPLES, SAMPLES + LONG_SAMPLES) >> np.uint32(16)).astype("<u2").tobytes() for s, w in weighted_sets(part.column("text"), table)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), pa.array(sigs, pa.binary())], ["node", "text", "long_sig"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, text string, long_sig binary")
+
+
+def units(tiles: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(class, x): x is close to some member of the class, by long signatures too, and is in another, not larger class."""
+
+    def run(batches):
+        for table in _groups(batches, ("key", "rb", "lb")):
+            node, label, size = (np.asarray(table.column(c)) for c in ("node", "label", "class_size"))
+            long, found = np.frombuffer(b"".join(table.column("long_sig").to_pylist()), "<u2").reshape(-1, LONG_SAMPLES), set()
+            for i, near in _close(table):
+                for k in near[(long[near] == long[i]).sum(1) >= LONG_EQUAL].tolist():
+                    own, other = (int(size[i]), int(label[i])), (int(size[k]), int(label[k]))
+                    found.add((other[1], int(node[i])) if other > own else (own[1], int(node[k])))
+            if found:
+                a, b = zip(*sorted(found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["class", "x"])
+
+    return _dealt(tiles.join(sigs, "node"), "key", "rb", "lb").mapInArrow(run, "class long, x long").distinct()
+
+
+def class_links(asked: DataFrame, classes: DataFrame, signed: DataFrame, idf) -> DataFrame:
+    """Edges (a, b) between x and a member of the class, for each unit (class, x) that has any. Classes are cut into tiles; signed has node, text, long_sig of all nodes that can be on an edge."""
     wanted = asked.select(F.col("class").alias("label")).distinct()
     targets = classes.join(wanted, "label").select("node", F.col("label").alias("class"), "class_size")
-    blocks = F.ceil(F.col("class_size") / TILE).cast("int")
-    right = targets.select("class", "node", F.pmod(F.xxhash64(F.lit(9), "node"), blocks).cast("int").alias("tile"), F.lit(False).alias("asks"))
+    tiles = F.ceil(F.col("class_size") / TILE).cast("int")
+    right = targets.select("class", "node", F.pmod(F.xxhash64(F.lit(9), "node"), tiles).cast("int").alias("tile"), F.lit(False).alias("asks"))
     sizes = targets.select("class", "class_size").distinct()
-    left = asked.join(sizes, "class").select("class", F.col("x").alias("node"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("tile"), F.lit(True).alias("asks"))
-    rows = right.unionByName(left).join(sigs, "node").join(texts, "node")
+    left = asked.join(sizes, "class").select("class", F.col("x").alias("node"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(True).alias("asks"))
 
     def link(batches):
-        table, state = idf.value, {"at": None, "rows": []}
+        table, at, held = idf.value, None, []
         for batch in batches:
             for part in _text_slices(batch):
                 sets = weighted_sets(part.column("text"), table)
-                for at0, at1, ask, node, sig, own in zip(*(part.column(c).to_pylist() for c in ("class", "tile", "asks", "node", "sig")), sets, strict=True):
-                    if state["at"] != (at0, at1):
-                        state = {"at": (at0, at1), "rows": []}
-                    sig = np.frombuffer(sig, "<u4")
+                for *key, ask, node, sig, own in zip(*(part.column(c).to_pylist() for c in ("class", "tile", "asks", "node", "long_sig")), sets, strict=True):
+                    if at != key:
+                        at, held = key, []
+                    sig = np.frombuffer(sig, "<u2")
                     if not ask:
-                        state["rows"].append((node, sig, own))  # a tile's members, TILE on average, come first
+                        held.append((node, sig, own))  # a tile's members, TILE on average, come first
                         continue
-                    for other, s, w in state["rows"]:
-                        if (s == sig).sum() >= LEAST_EQUAL and weighted_jaccard(own, w) >= THRESHOLD:
+                    for other, s, w in held:
+                        if (s == sig).sum() >= LONG_EQUAL and weighted_jaccard(own, w) >= THRESHOLD:
                             yield pa.RecordBatch.from_arrays([pa.array([other], pa.int64()), pa.array([node], pa.int64())], ["a", "b"])
                             break
 
-    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = right.unionByName(left).join(signed, "node")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "class", "tile").sortWithinPartitions("class", "tile", "asks").mapInArrow(link, "a long, b long")
 
 
@@ -414,12 +453,13 @@ def _classes(spark: SparkSession, nodes: DataFrame, texts: DataFrame, idf) -> Da
     involved = members.select("node").distinct().join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     sizes = involved.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"))
     classes = staged(involved.join(sizes, "label"), "classes")
-    asked = staged(units(members, classes), "units")
-    if not asked.limit(1).count():
+    tiles = _tiled(members, classes)
+    ids = staged(loose_nodes(tiles), "loose")
+    if not ids.limit(1).count():
         return first
-    need = asked.select(F.col("x").alias("id")).union(classes.join(asked.select(F.col("class").alias("label")).distinct(), "label").select("node")).distinct()
-    more_texts = only_ids(texts, staged(need, "need")).dropDuplicates(["doc"]).select(F.col("doc").alias("node"), "text")
-    more = staged(class_links(asked, classes, more_texts, nodes, idf), "more-links")
+    signed = staged(long_signatures(only_ids(texts, ids).dropDuplicates(["doc"]).select(F.col("doc").alias("node"), "text"), idf), "long-signatures")
+    asked = staged(units(tiles, signed.select("node", "long_sig")), "units")
+    more = staged(class_links(asked, classes, signed, idf), "more-links")
     if not more.limit(1).count():
         return first
     label = lambda c: classes.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))

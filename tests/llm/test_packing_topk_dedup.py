@@ -172,6 +172,7 @@ def test_near_dedup_against_brute_force(spark):
 def test_chains_and_large_groups(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SALT", 8)
     monkeypatch.setattr(near_dedup, "TILE", 5)
+    monkeypatch.setattr(near_dedup, "BUCKET_TILE", 4)
     rows, base = [], prose(77, 200)
     for i in range(60):  # around one text
         rows.append((i, edited(base, [(7 * i) % 190, (11 * i + 5) % 190, (3 * i + 50) % 190])))
