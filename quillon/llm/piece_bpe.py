@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from quillon.llm.word_ids import text_rows
 
 MARK = "▁"
-CACHE_WORDS = 600_000
+#: Words in a generation of a task's cache.
+CACHE_WORDS = 400_000
 CACHE_PAIRS = 1_000_000
 LONG_WORD = 100
+_ENDS = ".,;:!?"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -55,7 +57,10 @@ class PieceModel:
                 self.automaton.add_word(name, name)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        #: Neighbouring characters within pieces: between others no token reaches.
+        self.inner = {name[i : i + 2] for name in self.rank for i in range(len(name) - 1)}
+        self.ends = {c: (",".join(map(str, ids)), len(ids), self.joined(ids)) for c in _ENDS for ids in [self.word_ids(c)]}
+        self.seen = _Seen(self)
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the best pair first, leftmost among equals. For short texts."""
@@ -80,30 +85,25 @@ class PieceModel:
 
     def tokens(self, word: str) -> list[str]:
         """Tokens of a word (or any text) by the prefix table."""
-        n = len(word)
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(word):
-            ends[end].append(piece)
-        last: list[str] = [""] * n
+        last: list[str | None] = [None] * len(word)
         pairs, compatible = self.pairs, self.compatible
-        for end in range(n):
-            found = ends[end]
-            found.sort(key=len, reverse=True)
-            for piece in found:
-                begin = end - len(piece)
-                if begin < 0:
-                    break
-                left = last[begin]
-                ok = pairs.get((left, piece))
-                if ok or ok is None and compatible(left, piece):
-                    break
-            else:
-                piece = word[end]  # not in the vocabulary
-            last[end] = piece
-        out, end = [], n - 1
+        for end, piece in self.automaton.iter(word):  # ends ascend, and the longest piece of an end comes first
+            if last[end] is not None:
+                continue
+            begin = end - len(piece)
+            if begin < 0:  # the whole prefix is one token
+                last[end] = piece
+                continue
+            if (left := last[begin]) is None:
+                left = last[begin] = word[begin]  # not in the vocabulary
+            ok = pairs.get((left, piece))
+            if ok or ok is None and compatible(left, piece):
+                last[end] = piece
+        out, end = [], len(word) - 1
         while end >= 0:
-            out.append(last[end])
-            end -= len(last[end])
+            piece = last[end] or word[end]
+            out.append(piece)
+            end -= len(piece)
         out.reverse()
         return out
 
@@ -138,21 +138,43 @@ class PieceModel:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text."""
-        known, names, shown, n = self.known, [], [], 0
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for word in self.words(text):
-            got = known.get(word)
-            if got is None:
-                ids = self.word_ids(word)
-                got = (",".join(map(str, ids)), len(ids), self.joined(ids))
-                if len(word) <= LONG_WORD:
-                    known[word] = got
-            names.append(got[0])
-            n += got[1]
-            shown.append(got[2])
-        decoded = "".join(shown)[1:]  # the first word starts with the mark put before the text
-        return n, hashlib.sha256(",".join(names).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        if not text:
+            return 0, _sha(""), _sha("")
+        if "  " in text or MARK in text or text[0] == " ":
+            words = self.words(text)
+        else:
+            words = text.split(" ")  # without their marks
+        names, numbers, shown = zip(*map(self.seen.__getitem__, words), strict=True)
+        return sum(numbers), _sha(",".join(names)), _sha("".join(shown)[1:])  # the first word starts with the mark put before the text
+
+
+class _Seen(dict):
+    """Of each word (with its marks, or without its only one): ids in decimal joined by commas, their number, the text they decode to. Words are added when they are looked up; two generations are kept."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model, self.before = model, {}
+
+    def __missing__(self, word: str) -> tuple[str, int, str]:
+        got = self.before.get(word)
+        if got is None:
+            model = self.model
+            if word[-2:] not in model.inner and word[-1:] in _ENDS and len(word) > 1:
+                a, b = self[word[:-1]], model.ends[word[-1]]
+                got = (f"{a[0]},{b[0]}", a[1] + b[1], a[2] + b[2])
+            else:
+                ids = model.word_ids(word if word[:1] == MARK else MARK + word)
+                got = (",".join(map(str, ids)), len(ids), model.joined(ids))
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 _models: dict[str, PieceModel] = {}
