@@ -25,6 +25,8 @@ from quillon.llm.text_arrays import Words
 from quillon.llm.word_ids import slices
 
 MAX_FIT = 20_000
+#: Bytes of text whose features are made at once; the arrays take some 60 times as much.
+SLICE = 1_000_000
 THRESHOLD = 0.7
 FOLDS, HELD = 4, 2
 N_FEATURES = 21
@@ -133,7 +135,7 @@ def _featured(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             lengths = _lengths(batch.column("text"))
-            for a, b in slices(lengths):
+            for a, b in slices(lengths, SLICE):
                 part = batch.slice(a, b - a)
                 x = features(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.reshape(-1)))
@@ -174,7 +176,7 @@ def score(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESHOLD,
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(_lengths(batch.column("text"))):
+            for a, b in slices(_lengths(batch.column("text")), SLICE):
                 part = batch.slice(a, b - a)
                 values = scorer.scores(features(part.column("text"))) if scorer else np.full(b - a, 0.5)
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("held"), pa.array(values), pa.array((values >= threshold).astype(np.int32))], [doc_id, "held_out", "score", "predicted"])
@@ -190,7 +192,7 @@ def keep_good(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESHO
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(_lengths(batch.column(names.index(text)))):
+            for a, b in slices(_lengths(batch.column(names.index(text))), SLICE):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(scorer.scores(features(part.column(names.index(text)))) >= threshold))
 

@@ -245,14 +245,30 @@ def _equal_places(a: str, b: str) -> Column:
 # ---- exact similarity ----
 
 
+def _mark(column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), column), F.lit(ID_BUCKETS)).cast("int")
+
+
+def _marks(ids: DataFrame) -> DataFrame:
+    """ID_BUCKETS marks at most, of the given ids; broadcast, they tell most other rows apart before any shuffle."""
+    return F.broadcast(ids.select(_mark("id").alias("_mark")).distinct())
+
+
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc, ...) of the given ids (column id, distinct). A table of ID_BUCKETS marks, broadcast, keeps most other rows from the shuffle."""
-    mark = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(ID_BUCKETS)).cast("int")
-    marks = ids.select(mark("id").alias("_mark")).distinct()
-    near = docs.withColumn("_mark", mark("doc")).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
+    """docs (doc, ...) of the given ids (column id, distinct)."""
+    marks = _marks(ids)
+    near = docs.join(marks, _mark(docs["doc"]) == marks["_mark"], "left_semi")
     return near.join(ids, near["doc"] == ids["id"], "left_semi")
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    """docs but those of the given ids; rows without a marked id stay where they are."""
+    marks = _marks(ids)
+    same = _mark(docs[doc_id].cast("long")) == marks["_mark"]
+    near = docs.join(marks, same, "left_semi")
+    return docs.join(marks, same, "left_anti").unionByName(near.join(ids, near[doc_id] == ids["id"], "left_anti"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """x, y, similarity of the pairs (x, y) of nodes; texts has node, text."""
 
@@ -390,20 +406,21 @@ def units(tiles: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def class_links(asked: DataFrame, classes: DataFrame, signed: DataFrame, idf) -> DataFrame:
-    """Edges (a, b) between x and a member of the class, for each unit (class, x) that has any. Classes are cut into tiles; signed has node, text, long_sig of all nodes that can be on an edge."""
-    wanted = asked.select(F.col("class").alias("label")).distinct()
-    targets = classes.join(wanted, "label").select("node", F.col("label").alias("class"), "class_size")
-    tiles = F.ceil(F.col("class_size") / TILE).cast("int")
-    right = targets.select("class", "node", F.pmod(F.xxhash64(F.lit(9), "node"), tiles).cast("int").alias("tile"), F.lit(False).alias("asks"))
-    sizes = targets.select("class", "class_size").distinct()
-    left = asked.join(sizes, "class").select("class", F.col("x").alias("node"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(True).alias("asks"))
+    """Edges (a, b) between x and a member of the class, for each unit (class, x) that has any. Classes are cut into tiles, and those that ask into blocks; signed has node, text, long_sig of all nodes that can be on an edge."""
+    asks = asked.groupBy(F.col("class").alias("label")).agg(F.ceil(F.count(F.lit(1)) / BUCKET_TILE).cast("int").alias("ask_blocks"))
+    wanted = classes.select("label", F.ceil(F.col("class_size") / TILE).cast("int").alias("tiles")).distinct().join(asks, "label").select(F.col("label").alias("class"), "tiles", "ask_blocks")
+    own = lambda c: F.pmod(F.xxhash64(F.lit(9), "node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    members = classes.select("node", F.col("label").alias("class")).join(wanted, "class")
+    right = members.select("class", "node", own("tiles").alias("tile"), F.lit(False).alias("asks"), every("ask_blocks").alias("block"))
+    left = asked.select("class", F.col("x").alias("node")).join(wanted, "class").select("class", "node", every("tiles").alias("tile"), F.lit(True).alias("asks"), own("ask_blocks").alias("block"))
 
     def link(batches):
         table, at, held = idf.value, None, []
         for batch in batches:
             for part in _text_slices(batch):
                 sets = weighted_sets(part.column("text"), table)
-                for *key, ask, node, sig, own in zip(*(part.column(c).to_pylist() for c in ("class", "tile", "asks", "node", "long_sig")), sets, strict=True):
+                for *key, ask, node, sig, own in zip(*(part.column(c).to_pylist() for c in ("class", "tile", "block", "asks", "node", "long_sig")), sets, strict=True):
                     if at != key:
                         at, held = key, []
                     sig = np.frombuffer(sig, "<u2")
@@ -417,7 +434,7 @@ def class_links(asked: DataFrame, classes: DataFrame, signed: DataFrame, idf) ->
 
     rows = right.unionByName(left).join(signed, "node")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "class", "tile").sortWithinPartitions("class", "tile", "asks").mapInArrow(link, "a long, b long")
+    return rows.repartition(n, "class", "tile", "block").sortWithinPartitions("class", "tile", "block", "asks").mapInArrow(link, "a long, b long")
 
 
 # ---- the operator ----
@@ -471,5 +488,5 @@ def _classes(spark: SparkSession, nodes: DataFrame, texts: DataFrame, idf) -> Da
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, with all its columns; rows without doc_id that are no copy of a row with one stay."""
     own = classes_of(docs, doc_id, text)
-    gone = own.where(~F.col("kept") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    gone = own.where(~F.col("kept") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct()
+    return without_ids(docs, staged(gone, "copies"), doc_id)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE_CLASS, SPACES, bind, words_of
+from quillon.llm.common import SPACE_CLASS, SPACES, bind, staged, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -134,7 +134,10 @@ def _depleted(min_kept_share: float) -> Column:
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
-    """The documents that the rules keep, with all their columns; only the keys of depleted documents are joined."""
+    """The documents that the rules keep, with all their columns.
+
+    The keys of depleted documents are written first: while that table is small, as its files' size tells the planner, it is sent to the documents, and no text is shuffled.
+    """
     lost = removed_words(docs, doc_id, text, host, min_docs, host_share)
     sizes = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_key"), F.size(words_of(F.col(text))).alias("n_words"))
     gone = (
@@ -143,6 +146,7 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
         .where(_depleted(min_kept_share))
         .select("_doc", "_key")
     )
+    gone = staged(gone, "depleted")
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = {c: f"c{i}" for i, c in enumerate(names)}

@@ -17,7 +17,7 @@ import unicodedata
 from array import array
 
 #: Words in a generation of a task's cache; the last full generation is kept too, and its words move over as they are met.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 LONG_WORD = 100
 _MARKS = frozenset(".,;:!?")
 
@@ -81,6 +81,7 @@ class WordEncoder(dict):
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         if len(self) > CACHE_WORDS:
+            self.before = {}  # let go before the copy is made
             self.before = dict(self)
             self.clear()
             self[""] = b""
