@@ -57,10 +57,10 @@ def fuse(first: DataFrame, second: DataFrame, c: int = 60) -> DataFrame:
     return raw.withColumns({"rrf": F.col("rrf_raw") / F.max("rrf_raw").over(w), "first_scaled": scaled("s1"), "second_scaled": scaled("s2")})
 
 
-def hybrid(fused: DataFrame, titles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """.45 fusion + .35 second + .15 first + .05 share of the title's tokens in the query. titles: doc_id, title_tokens; queries: query_id, query_tokens."""
-    named = fused.join(titles, "doc_id").join(queries, "query_id")
-    score = 0.45 * F.col("rrf") + 0.35 * F.col("second_scaled") + 0.15 * F.col("first_scaled") + 0.05 * coverage(F.col("title_tokens"), F.col("query_tokens"))
+def hybrid(fused: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """.45 fusion + .35 second + .15 first + .05 share of the query's (its title's) tokens that the document holds. docs: doc_id, doc_tokens; queries: query_id, query_tokens."""
+    named = fused.join(docs, "doc_id").join(queries, "query_id")
+    score = 0.45 * F.col("rrf") + 0.35 * F.col("second_scaled") + 0.15 * F.col("first_scaled") + 0.05 * coverage(F.col("query_tokens"), F.col("doc_tokens"))
     return top(named.withColumn("score", score), k)
 
 

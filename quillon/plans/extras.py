@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.io import table
-from quillon.operators import causal, effects, learners, nested
+from quillon.operators import effects, learners, nested
 from quillon.plans.causal import frame
 from quillon.plans.evaluation import scored
 from quillon.plans.registry import query, rounded
 
-_SENT = r"""sent AS (SELECT doc_id, list_filter(string_split_regex(text, '[.\n]+'), lambda x: trim(x) <> '') AS s FROM documents WHERE doc_id % 5 = 0),
+_SENT = r"""sent AS (SELECT doc_id, list_filter(string_split_regex(text, '[.\n]+'), lambda x: trim(x) <> '') AS s FROM documents),
 ev AS (SELECT doc_id, len(s) AS n, list_sort(list_distinct([(doc_id * 7) % len(s), (doc_id * 11 + 3) % len(s)])) AS gold, list_sort(list_distinct([(doc_id * 7) % len(s), (doc_id * 5 + 1) % len(s), (doc_id * 11 + 3) % len(s), (doc_id * 13) % len(s)])) AS called, CASE WHEN doc_id % 3 = 0 THEN 'SUPPORT' ELSE 'CONTRADICT' END AS stance FROM sent WHERE len(s) > 0)"""
 
 
 def evidence(spark, sf_dir):
-    """Gold and called sentence numbers of every fifth document (every fifth: the claims of this query)."""
+    """Gold and called sentence numbers of each document."""
     s = F.filter(F.split("text", r"[.\n]+"), lambda x: F.trim(x) != "")
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.size(s).cast("long").alias("n")).where("n > 0")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n")).where("n > 0")
     pick = lambda *pairs: F.sort_array(F.array_distinct(F.array(*[(F.col("doc_id") * a + b) % F.col("n") for a, b in pairs])))
     return d.select("doc_id", "n", pick((7, 0), (11, 3)).alias("gold"), pick((7, 0), (5, 1), (11, 3), (13, 0)).alias("called"), F.when(F.col("doc_id") % 3 == 0, "SUPPORT").otherwise("CONTRADICT").alias("stance"))
 
@@ -65,14 +65,15 @@ def ensemble_disagreement(spark, sf_dir):
     return rounded(m.withColumn("pred", pred).groupBy("o_orderkey").agg(F.avg("pred").alias("mean_pred"), F.stddev_samp("pred").alias("disagreement")), 4)
 
 
-@query("""WITH v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding[1:8]] AS e FROM embeddings) SELECT a.vec_id, round(list_sum([a.e[i] * b.e[i] FOR i IN range(1, 9)]), 6) AS product_sum, round(list_sum([abs(a.e[i] - b.e[i]) FOR i IN range(1, 9)]), 6) AS gap_sum, 32::INTEGER AS width FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+@query("""WITH v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings) SELECT a.vec_id, round(list_sum([a.e[i] * b.e[i] FOR i IN range(1, len(a.e) + 1)]), 6) AS product_sum, round(list_sum([abs(a.e[i] - b.e[i]) FOR i IN range(1, len(a.e) + 1)]), 6) AS gap_sum, (4 * len(a.e))::INTEGER AS width FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
 def relation_features(spark, sf_dir):
     """Features of a pair of vectors: both, their product, their absolute difference."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("a"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     w = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
     f = v.join(w, "vec_id").withColumn("x", nested.relation(F.col("a"), F.col("b")))
-    add = lambda begin: F.aggregate(F.slice("x", begin, 8), F.lit(0.0), lambda s, e: s + e)
-    return rounded(f.select("vec_id", add(17).alias("product_sum"), add(25).alias("gap_sum"), F.size("x").alias("width")))
+    part = F.floor(F.size("x") / 4).cast("int")
+    add = lambda k: F.aggregate(F.slice("x", part * k + 1, part), F.lit(0.0), lambda s, e: s + e)
+    return rounded(f.select("vec_id", add(2).alias("product_sum"), add(3).alias("gap_sum"), F.size("x").alias("width")))
 
 
 @query("""WITH a AS (SELECT source, count(*) AS n, avg(toxic) AS r FROM labels JOIN documents USING (doc_id) WHERE labels.doc_id % 2 = 0 GROUP BY source), b AS (SELECT source, count(*) AS n, avg(toxic) AS r FROM labels JOIN documents USING (doc_id) GROUP BY source) SELECT count(*) AS n_shared, count(*) FILTER (a.n <= b.n) AS n_consistent, count(*) FILTER (abs(a.r - b.r) <= 0.25) AS n_close, bool_and(a.n <= b.n) AS released FROM a JOIN b USING (source)""")

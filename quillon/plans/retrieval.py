@@ -62,15 +62,15 @@ def rrf_fusion(spark, sf_dir):
     return rounded(retrieval.fuse(ranked(spark, sf_dir), second(spark, sf_dir)).select("query_id", "doc_id", "rrf", "first_scaled", "second_scaled"), 4)
 
 
-@query(rf"""WITH {_FUSED}, ti AS (SELECT doc_id, list_distinct(t[1:8]) AS title FROM tok), q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS qt FROM benchmark),
-h AS (SELECT g.query_id, g.doc_id, 0.45 * rrf + 0.35 * n2 + 0.15 * n1 + 0.05 * coalesce(len(list_intersect(title, qt)) / nullif(len(title), 0), 0) AS score FROM g JOIN ti ON ti.doc_id = g.doc_id JOIN q ON q.query_id = g.query_id),
+@query(rf"""WITH {_FUSED}, ti AS (SELECT doc_id, t AS held FROM tok), q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS qt FROM benchmark),
+h AS (SELECT g.query_id, g.doc_id, 0.45 * rrf + 0.35 * n2 + 0.15 * n1 + 0.05 * coalesce(len(list_intersect(qt, held)) / nullif(len(qt), 0), 0) AS score FROM g JOIN ti ON ti.doc_id = g.doc_id JOIN q ON q.query_id = g.query_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM h) SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 4) AS score FROM k WHERE rank <= 5""")
 def rrf_hybrid(spark, sf_dir):
-    """Fused rankings with the coverage of the documents' first words."""
+    """Fused rankings with the coverage of the query's tokens by the document."""
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    titles = docs.select("doc_id", F.slice(tokens(F.col("text")), 1, 8).alias("title_tokens"))
+    held = docs.select("doc_id", tokens(F.col("text")).alias("doc_tokens"))
     named = asked.select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("query_tokens"))
-    h = retrieval.hybrid(retrieval.fuse(ranked(spark, sf_dir), second(spark, sf_dir)), titles, named, 50)
+    h = retrieval.hybrid(retrieval.fuse(ranked(spark, sf_dir), second(spark, sf_dir)), held, named, 50)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
     return rounded(h.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "doc_id", "rank", "score"), 4)
 

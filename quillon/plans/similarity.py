@@ -9,24 +9,23 @@ from quillon.functions import arrays as ar
 from quillon.functions.text import hash_unit
 from quillon.io import table
 from quillon.operators import pairs
-from quillon.operators.graph import closure  # noqa: F401
 from quillon.plans.registry import query, rounded
 
-#: A stated sample of vectors for operators that the reference defines on all pairs: ids of a remainder; every tenth asks.
-_FUZZY = """fz AS (SELECT vec_id, label, list_transform(embedding[1:16], lambda x: greatest(0, least(1, (x::DOUBLE + 1) / 2))) AS v FROM embeddings)"""
+#: Vectors as fuzzy sets. Where an operator is defined on all pairs, a stated query set (ids divisible by 50) meets all vectors.
+_FUZZY = """fz AS (SELECT vec_id, label, list_transform(embedding, lambda x: greatest(0, least(1, (x::DOUBLE + 1) / 2))) AS v FROM embeddings)"""
 
 
 def fuzzy(spark, sf_dir) -> DataFrame:
-    v = F.transform(F.slice("embedding", 1, 16), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x.cast("double") + 1) / 2)))
+    v = F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x.cast("double") + 1) / 2)))
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", v.alias("v"))
 
 
-_MIN, _MAX = "list_sum([least(a.v[i], b.v[i]) FOR i IN range(1, 17)])", "list_sum([greatest(a.v[i], b.v[i]) FOR i IN range(1, 17)])"
-_DOT = "list_sum([a.v[i] * b.v[i] FOR i IN range(1, 17)])"
+_MIN, _MAX = "list_sum([least(a.v[i], b.v[i]) FOR i IN range(1, len(a.v) + 1)])", "list_sum([greatest(a.v[i], b.v[i]) FOR i IN range(1, len(a.v) + 1)])"
+_DOT = "list_sum([a.v[i] * b.v[i] FOR i IN range(1, len(a.v) + 1)])"
 
 
 @query(f"""WITH {_FUZZY} SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_MIN} / {_MAX}, 6) AS jaccard, round(2 * {_MIN} / (list_sum(a.v) + list_sum(b.v)), 6) AS dice,
-round({_DOT} / (sqrt(list_sum([x * x FOR x IN a.v])) * sqrt(list_sum([x * x FOR x IN b.v]))), 6) AS cosine, round(1 - abs(list_sum(a.v) - list_sum(b.v)) / 16, 6) AS balance,
+round({_DOT} / (sqrt(list_sum([x * x FOR x IN a.v])) * sqrt(list_sum([x * x FOR x IN b.v]))), 6) AS cosine, round(1 - abs(list_sum(a.v) - list_sum(b.v)) / len(a.v), 6) AS balance,
 round(({_MIN}) * ({_MIN}) / ({_MIN} * {_MIN} + 0.5 * {_MIN} * ({_MAX} - {_MIN})), 6) AS rational FROM fz a JOIN fz b ON b.vec_id = a.vec_id + 1""")
 def fuzzy_pairs(spark, sf_dir):
     """Similarities of neighbouring fuzzy sets: Jaccard, Dice, cosine, balance, and a rational form."""
