@@ -136,7 +136,7 @@ _HIT_COUNT = " + ".join(f"regexp_matches(p, '{x}')::INT" for v in _FAMILIES.valu
 
 @query(rf"""WITH t AS (SELECT doc_id, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS p FROM documents),
 f AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN {_HITS[k]} THEN '{k}' END" for k in sorted(_FAMILIES))}], lambda x: x IS NOT NULL) AS fams, {_HIT_COUNT} AS n FROM t)
-SELECT doc_id, CASE WHEN len(fams) = 1 THEN fams[1] ELSE 'ambiguous' END AS family, n::INTEGER AS n_cues, round(least(0.95, 0.65 + 0.1 * (n - 1)), 6) AS score FROM f WHERE n > 0""")
+SELECT doc_id, CASE WHEN len(fams) = 1 THEN fams[1] ELSE 'ambiguous' END AS family, n::INTEGER AS n_cues, round(least(0.95, 0.65 + 0.1 * (n - 1))::DOUBLE, 6) AS score FROM f WHERE n > 0""")
 def query_classify(spark, sf_dir):
     """Cue patterns in families: one family decides, none or several are ambiguous."""
     t = table(spark, sf_dir, "documents").select("doc_id", tx.cue_families(F.col("text"), _FAMILIES).alias("fams"), tx.cue_count(F.col("text"), _FAMILIES).alias("n_cues"))
