@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read from there; a folder is made only where the session names none (local mode)."""
-    spark = df.sparkSession
+    """Written to the shared folder and read from there."""
+    _shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The same as a table, whose size the planner knows: it broadcasts a small one and shuffles to a large one."""
+    path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder; one is made only where the session names none (local mode)."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()

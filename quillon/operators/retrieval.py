@@ -10,10 +10,13 @@ from quillon.functions.text import coverage, tokens
 K1, B = 1.2, 0.75
 
 
-def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, doc_id, tf and dl (tokens of the document)."""
+def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, tf and dl (tokens of the document). only: a table with the terms to index; others are dropped before anything is counted."""
     t = corpus.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    return t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    rows = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if only is not None:
+        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_size(corpus: DataFrame, text: str = "text") -> DataFrame:

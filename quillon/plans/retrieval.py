@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import tokens
-from quillon.io import table
+from quillon.io import staged, table
 from quillon.operators import retrieval
 from quillon.plans.registry import query, rounded
 
@@ -28,7 +28,8 @@ s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 
 def parts(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return docs, retrieval.postings(docs), retrieval.corpus_size(docs), retrieval.query_terms(asked, "item_id", "text")
+    terms = staged(retrieval.query_terms(asked, "item_id", "text"), "terms")
+    return docs, retrieval.postings(docs, only=terms), retrieval.corpus_size(docs), terms
 
 
 def ranked(spark, sf_dir) -> DataFrame:
