@@ -3,7 +3,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
