@@ -3,14 +3,16 @@
 A document first passes rules on its own text (``base_failed``). Then lines count: each line is normalised (case and
 white space) and hashed together with its host; the documents of a host that hold it are counted, equal texts once.
 Lines above the limit, ``max(min_docs, share * documents of the host)``, are removed, and a document that keeps too few
-words or too small a share of its words is rejected as depleted.
+words or too small a share of its words is rejected as depleted. ``judge`` gives the verdicts and counts, ``keep_good``
+the kept documents with the texts that remain.
 
 Defined cases: a null text counts as empty; a text without words fails the base rules; a null host is a host of its
 own; repeated rows each get a verdict, and count once as they have equal texts; columns besides the named ones are
-ignored by the queries and pass through ``keep_good`` untouched; an empty table gives an empty result.
+ignored by the queries and pass through ``keep_good`` untouched (also a stored length of the text as it was); an empty table gives an empty result.
 
 Scale: both passes over the text are map-only. What is shuffled is one (hash, text hash) pair for each line, combined
-before the shuffle, and then only the lines above the limit. No row carries text across a shuffle in ``judge``.
+before the shuffle, and then only the lines above the limit. No row carries text across a shuffle in ``judge``; in
+``keep_good`` the kept documents are shuffled only where the places of removed lines are too many to send to each task.
 """
 
 from __future__ import annotations
@@ -76,12 +78,15 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _host_key(host: str) -> Column:
+    return F.xxhash64(F.lit(11), F.col(host))
+
+
 def _lines_of(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """A row for each line that has words: whose it is, its hash within its host, its words."""
     plain = F.lower(F.regexp_replace(F.btrim(F.col("line"), F.lit(SPACES)), SPACE_CLASS, " "))
-    host_key = F.xxhash64(F.lit(11), F.col(host))
     return (
-        docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_key"), host_key.alias("host_key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+        docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_key"), _host_key(host).alias("host_key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
         .withColumn("plain", plain)
         .where("plain != ''")
         .select("doc", "text_key", "host_key", "at", F.xxhash64("host_key", "plain").alias("line_key"), F.size(F.split("plain", " ")).alias("words"))
@@ -100,7 +105,7 @@ def frequent_lines(docs: DataFrame, doc_id: str, text: str, host: str, min_docs:
     )
     per_host = (
         docs.where(F.col(text).isNotNull())
-        .select(F.xxhash64(F.lit(11), F.col(host)).alias("host_key"), F.xxhash64(text).alias("text_key"))
+        .select(_host_key(host).alias("host_key"), F.xxhash64(text).alias("text_key"))
         .distinct()
         .groupBy("host_key")
         .agg(F.count(F.lit(1)).alias("host_docs"))
@@ -108,20 +113,39 @@ def frequent_lines(docs: DataFrame, doc_id: str, text: str, host: str, min_docs:
     return per_line.join(per_host, "host_key").where(F.col("n_docs") > host_share * F.col("host_docs")).select("line_key")
 
 
-def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
-    """For each document that loses lines: doc, text_key and how many words these lines hold."""
+def _hits(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, host_share: float) -> DataFrame:
+    """A row for each place of a document that holds a line above the limit: doc, text_key, host_key, at, words."""
     over = frequent_lines(docs, doc_id, text, host, min_docs, host_share)
     hits = _lines_of(docs, doc_id, text, host).join(over, "line_key", "left_semi")
-    return hits.groupBy("doc", "text_key", "at").agg(F.max("words").alias("words")).groupBy("doc", "text_key").agg(F.sum("words").alias("n_removed"))
+    return hits.groupBy("doc", "text_key", "host_key", "at").agg(F.max("words").alias("words"))
+
+
+def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+    """For each document that loses lines: doc, text_key, host_key and how many words these lines hold."""
+    return _hits(docs, doc_id, text, host, min_docs, host_share).groupBy("doc", "text_key", "host_key").agg(F.sum("words").alias("n_removed"))
+
+
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+    """As removed_words, with the places of these lines among the text's lines."""
+    hits = _hits(docs, doc_id, text, host, min_docs, host_share)
+    return hits.groupBy("doc", "text_key", "host_key").agg(F.sum("words").alias("n_removed"), F.collect_list("at").alias("places"))
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without its lines at these places; the other lines stay as they are."""
+    lines = F.split(text, "\n")
+    at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    return bind(lines, lambda all_lines: F.array_join(F.transform(at, lambda i: F.get(all_lines, i)), "\n"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """A row for each document: the counts, base_failed, n_removed (words in removed lines) and kept."""
     lost = removed_words(docs, doc_id, text, host, min_docs, host_share)
-    counts = base_columns(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text").withColumn("text_key", F.xxhash64("text")).drop("text")
-    lost = lost.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), "n_removed")
+    narrow = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), _host_key(host).alias("host_key"))
+    counts = base_columns(narrow, "text").withColumn("text_key", F.xxhash64("text")).drop("text")
+    lost = lost.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("host_key").alias("_host"), "n_removed")
     return (
-        counts.join(lost, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
+        counts.join(lost, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")) & (F.col("host_key") == F.col("_host")), "left")
         .withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ~_depleted(min_kept_share))
         .select(F.col("doc").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
@@ -134,22 +158,17 @@ def _depleted(min_kept_share: float) -> Column:
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
-    """The documents that the rules keep, with all their columns.
+    """The documents that the rules keep, their texts without the lines above the limit; all other columns are as given.
 
-    The keys of depleted documents are written first: while that table is small, as its files' size tells the planner, it is sent to the documents, and no text is shuffled.
+    The places of the removed lines are written first: while that table is small, as its files' size tells the planner, it is sent to the documents, and no text is shuffled.
     """
-    lost = removed_words(docs, doc_id, text, host, min_docs, host_share)
-    sizes = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_key"), F.size(words_of(F.col(text))).alias("n_words"))
-    gone = (
-        lost.withColumnsRenamed({"doc": "_doc", "text_key": "_key"})
-        .join(sizes, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")))
-        .where(_depleted(min_kept_share))
-        .select("_doc", "_key")
-    )
-    gone = staged(gone, "depleted")
+    lost = removed_lines(docs, doc_id, text, host, min_docs, host_share)
+    lost = staged(lost.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("host_key").alias("_host"), "n_removed", "places"), "removed_lines")
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = {c: f"c{i}" for i, c in enumerate(names)}
     good = base_columns(inner, at[text]).where(~F.col("base_failed"))
-    kept = good.join(gone, F.col(at[doc_id]).eqNullSafe(F.col("_doc")) & (F.xxhash64(at[text]) == F.col("_key")), "left_anti")
-    return kept.select(*[F.col(at[c]).alias(c) for c in names])
+    same = F.col(at[doc_id]).eqNullSafe(F.col("_doc")) & (F.xxhash64(at[text]) == F.col("_key")) & (_host_key(at[host]) == F.col("_host"))
+    kept = good.join(lost, same, "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0))).where(~_depleted(min_kept_share))
+    rest = F.when(F.col("places").isNull(), F.col(at[text])).otherwise(without_lines(F.col(at[text]), F.col("places")))
+    return kept.select(*[(rest if c == text else F.col(at[c])).alias(c) for c in names])

@@ -91,6 +91,16 @@ def test_frequent_lines_deplete_documents(spark):
     assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == kept
 
 
+def test_keep_good_removes_frequent_lines_from_the_text(spark):
+    common = "Terms  of use and \t privacy notice"
+    text = lambda i: f"{prose(700 + i, 40)}\n\n  {common.upper()}\r\n{prose(800 + i, 40)}\n{common}"
+    rows = [(i, text(i), "h", 7) for i in range(30)] + [(None, text(30), "h", 7), (31, text(1), "other", 7), (1, text(1), "other", 7), (32, prose(32, 50) + "\n", None, 7)]
+    good = quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"))
+    left = lambda i: f"{prose(700 + i, 40)}\n\n{prose(800 + i, 40)}"
+    expected = [(i, left(i), "h", 7) for i in range(30)] + [(None, left(30), "h", 7), *rows[31:]]
+    assert sorted(map(repr, map(tuple, good.collect()))) == sorted(map(repr, expected))
+
+
 def test_quality_rules_on_an_empty_table(spark):
     assert quality_rules.judge(odd_docs(spark, [])).count() == 0
     assert quality_rules.keep_good(odd_docs(spark, [])).count() == 0
