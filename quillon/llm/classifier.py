@@ -1,17 +1,21 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Training sees trusted positives (rows labelled 1) and texts whose label is hidden. With class prior p, loss l and scorer
-f the risk is p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)]); where the second part turns negative, the
-gradient step goes the other way on it. The class prior is the share of positives among the labelled rows that may be
-learned from. The scorer is a small network on counts of the text alone (letters, marks, word shapes, repeats).
+Training sees trusted positives (rows labelled 1) and unlabelled texts: a sample of the whole table, mostly documents
+without any label, as they come; a label that one of them has is not looked at. With class prior p, loss l and scorer f
+the risk is p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)]); where the second part turns negative, the
+gradient step goes the other way on it. The class prior is estimated from scores (``class_prior``), so labels with value
+0 are not needed. The scorer is a small network on counts of the text alone (letters, marks, word shapes, repeats).
 
-Sampling: the fit uses at most ``MAX_FIT`` labelled rows, those of smallest hash, by a threshold from a count of all;
-all else covers every row. The fitted network has a fixed size; scoring is map-only.
+Sampling: the fit uses at most ``MAX_FIT`` positives and ``MAX_FIT`` unlabelled rows, those of smallest hash, by
+thresholds from counts of all; all else covers every row. The fitted network has a fixed size; scoring is map-only.
 
-Held-out rows are those with crc32(doc_id as text) mod 4 = 2; their labels are never read.
+Assumed, as by the method: the positives are drawn from all good texts alike. Good texts of a kind that has no positives
+(a language, say) count as bad.
+
+Held-out rows are those with crc32(doc_id as text) mod 4 = 2; their labels are never read, and they are in no sample.
 
 Defined cases: null and empty texts are scored as texts without words; null ids are scored and not held out; repeated
-rows and labels do no harm; without labelled rows of learnable folds every text scores 0.5; other columns are ignored.
+rows and labels do no harm; without positives of learnable folds every text scores 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ FOLDS, HELD = 4, 2
 N_FEATURES = 21
 HIDDEN = 12
 STEPS = 400
+PRIOR_STEPS = 200
 
 _KINDS = np.zeros((256, 8), bool)
 _KINDS[97:123, 0] = _KINDS[65:91, 0] = True  # letters
@@ -96,23 +101,27 @@ def _forward(x, weights):
     return h @ w2 + b2, h
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, seed: int = 7) -> Scorer:
-    """x: features of the rows with labels hidden, all of them; positive: which are trusted positives."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+def fit(x: np.ndarray, positive: np.ndarray, hidden: np.ndarray, prior: float | None, steps: int = STEPS, seed: int = 7) -> Scorer:
+    """x: features; positive: which rows are trusted positives; hidden: which are in the unlabelled sample (a row can be both).
+
+    Without a prior the scorer tells positives from unlabelled rows, both of equal weight.
+    """
+    mean, scale = x[hidden].mean(0), x[hidden].std(0) + 1e-9
     z = np.clip((x - mean) / scale, -8, 8)
+    gain, part = (1.0, 0.0) if prior is None else (prior, prior)
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, 0.3, (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    n, m = len(z), max(1, positive.sum())
+    n, m = max(1, hidden.sum()), max(1, positive.sum())
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     for step in range(1, steps + 1):
         out, h = _forward(z, weights)
         soft = np.logaddexp(0, out)  # loss as a negative
         p = sigmoid(out)
-        negative_risk = soft.mean() - prior * soft[positive].mean()
-        grad_pos, grad_neg = np.zeros(n), p / n
-        grad_pos[positive] = prior * (p[positive] - 1) / m
-        grad_neg[positive] -= prior * p[positive] / m
+        negative_risk = soft[hidden].mean() - part * soft[positive].mean()
+        grad_pos, grad_neg = np.zeros(len(z)), np.where(hidden, p / n, 0.0)
+        grad_pos[positive] = gain * (p[positive] - 1) / m
+        grad_neg[positive] -= part * p[positive] / m
         grad = grad_pos + grad_neg if negative_risk >= 0 else -grad_neg
         back = np.outer(grad, weights[2]) * (1 - h**2)
         grads = [z.T @ back + 1e-4 * weights[0], back.sum(0), h.T @ grad + 1e-4 * weights[2], np.array([grad.sum()])]
@@ -124,11 +133,32 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, s
     return Scorer(mean, scale, weights)
 
 
+def class_prior(x: np.ndarray, positive: np.ndarray, hidden: np.ndarray, half: np.ndarray) -> float:
+    """The share of positives among the hidden rows, by scores on the half that the scorer has not seen, both halves in turn.
+
+    Above a score that only positives reach, the share of hidden rows over the share of positives is the prior; the
+    score is the one where that ratio, with the sampling error of both shares, is least.
+    """
+    found = []
+    for seen in (half, ~half):
+        if not ((positive & seen).any() and (positive & ~seen).any() and (hidden & seen).any() and (hidden & ~seen).any()):
+            continue
+        scorer = fit(x[seen], positive[seen], hidden[seen], None, PRIOR_STEPS)
+        good, all_rows = np.sort(scorer.logits(x[positive & ~seen])), np.sort(scorer.logits(x[hidden & ~seen]))
+        of_good = 1 - np.arange(len(good)) / len(good)  # share of the positives at or above each of them
+        of_all = 1 - np.searchsorted(all_rows, good) / len(all_rows)
+        error = np.sqrt(np.log(40) / (2 * len(good))) + np.sqrt(np.log(40) / (2 * len(all_rows)))
+        at = np.argmin((of_all + error) / of_good)
+        found.append(of_all[at] / of_good[at])
+    return float(np.clip(np.mean(found), 0.001, 0.999)) if found else 0.5
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
 
 
-_FEATURES = "doc long, x array<double>"
+_FEATURES = "draw long, positive boolean, hidden boolean, x array<double>"
+_MARKS = ["draw", "positive", "hidden"]
 
 
 def _featured(docs: DataFrame) -> DataFrame:
@@ -139,7 +169,7 @@ def _featured(docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 x = features(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), lists], ["doc", "x"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in _MARKS], lists], [*_MARKS, "x"])
 
     return docs.mapInArrow(run, _FEATURES)
 
@@ -151,24 +181,37 @@ def _lengths(column) -> list[int]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_fit: int = MAX_FIT) -> Scorer | None:
-    """Fits on labelled rows of the learnable folds, max_fit at most; None if there are no positives."""
+    """Fits on positives of the learnable folds and unlabelled documents, about max_fit of each at most; None if there are no positives."""
     open_rows = (
         labels.select(F.col(doc_id).cast("long").alias("doc"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc")))
         .groupBy("doc")
         .agg(F.max("y").alias("y"))
-        .withColumn("draw", F.pmod(F.xxhash64(F.lit("fit"), "doc"), F.lit(1_000_000)))
+        .where("y = 1")
     )
-    n, positives = open_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not positives:
+    n_positives = open_rows.count()
+    if not n_positives:
         return None
-    prior = min(positives / n, 0.999)
-    chosen = open_rows.where(F.col("draw") < 1_000_000 * 0.95 * max_fit / n).select("doc", "y")  # at most about max_fit rows, which the driver and tasks can hold
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(F.broadcast(chosen.select("doc")), "doc", "left_semi")
-    found = _featured(rows).join(F.broadcast(chosen), "doc").select("doc", "y", "x").limit(2 * max_fit).toPandas().sort_values("doc")  # the limit is above the sample's size
-    if not len(found) or not (found["y"] == 1).any():
+    n_docs = docs.where(~held_out(F.col(doc_id))).count()
+    share = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "draw"), F.lit(1_000_000)) < 1_000_000 * 0.95 * max_fit / max(n, 1)
+    draw = F.xxhash64(F.lit("fit"), F.coalesce(F.col("doc"), F.xxhash64("text")))
+    chosen = open_rows.withColumn("draw", F.xxhash64(F.lit("fit"), "doc")).where(share("positive", n_positives)).select("doc", F.lit(True).alias("positive"))  # at most about max_fit rows, which the driver and tasks can hold
+    rows = (
+        docs.select(F.col(doc_id).cast("long").alias("doc"), held_out(F.col(doc_id)).alias("held"), F.col(text).alias("text"))
+        .withColumn("draw", draw)
+        .withColumn("hidden", ~F.col("held") & share("hidden", n_docs))
+        .join(F.broadcast(chosen), "doc", "left")
+        .withColumn("positive", F.coalesce("positive", F.lit(False)))
+        .where("positive or hidden")
+        .select(*_MARKS, "text")
+    )
+    found = _featured(rows).limit(4 * max_fit).toPandas().sort_values("draw")  # the limit is above the samples' size
+    if not found["positive"].any():
         return None
-    return fit(np.stack(found["x"].to_numpy()), (found["y"] == 1).to_numpy(), prior)
+    x, positive, hidden, half = np.stack(found["x"].to_numpy()), found["positive"].to_numpy(bool), found["hidden"].to_numpy(bool), found["draw"].to_numpy() % 2 == 0
+    if not hidden.any():
+        hidden = positive
+    return fit(x, positive, hidden, class_prior(x, positive, hidden, half))
 
 
 def score(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

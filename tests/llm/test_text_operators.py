@@ -291,6 +291,20 @@ def test_classifier_on_odd_rows(spark):
     assert classifier.score(odd_docs(spark, []), scorer).count() == 0
 
 
+def good_and_bad(spark):
+    rows = [(i, prose(2000 + i, 60 + i % 50)) for i in range(400)] + [(1000 + i, " ".join(f"### {w} | $$$ <{k}>" for k, w in enumerate(prose(4000 + i, 25).split()))) for i in range(100)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_classifier_learns_from_documents_without_labels(spark):
+    docs = good_and_bad(spark)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 400, 3)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in classifier.keep_good(docs, classifier.learn(docs, labels)).collect()}
+    assert len(kept & set(range(400))) >= 396 and not kept & set(range(1000, 1100))  # positives alone are enough to reject
+    again = classifier.learn(docs.orderBy(F.desc("doc_id")), labels.union(labels.selectExpr("doc_id + 1000", "0").where("doc_id < 1030")))
+    assert {r["doc_id"] for r in classifier.keep_good(docs, again).collect()} == kept  # labels 0 change nothing
+
+
 # ---- 10 sharding ----
 
 
