@@ -181,13 +181,18 @@ def _lengths(column) -> list[int]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_fit: int = MAX_FIT) -> Scorer | None:
-    """Fits on positives of the learnable folds and unlabelled documents, about max_fit of each at most; None if there are no positives."""
+    """Fits on positives of the learnable folds and unlabelled documents, about max_fit of each at most; None if there are no positives.
+
+    Labels count only where docs has their document, so both samples and their rates are of the table given.
+    """
+    given = docs.select(F.col(doc_id).cast("long").alias("doc"))
     open_rows = (
         labels.select(F.col(doc_id).cast("long").alias("doc"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc")))
         .groupBy("doc")
         .agg(F.max("y").alias("y"))
         .where("y = 1")
+        .join(given, "doc", "left_semi")
     )
     n_positives = open_rows.count()
     if not n_positives:

@@ -305,6 +305,21 @@ def test_classifier_learns_from_documents_without_labels(spark):
     assert {r["doc_id"] for r in classifier.keep_good(docs, again).collect()} == kept  # labels 0 change nothing
 
 
+def test_classifier_counts_labels_of_its_own_input_only(spark, monkeypatch):
+    docs = good_and_bad(spark).where("doc_id < 1000").unionByName(good_and_bad(spark).where("doc_id >= 1090"))  # most of the bad half is gone
+    rows = [(i, 1) for i in range(0, 400, 4)] + [(1000 + i, 0) for i in range(100)]  # labels of 50 %
+    seen = []
+    fit = classifier.fit
+    monkeypatch.setattr(classifier, "fit", lambda x, positive, *rest: seen.append(int(positive.sum())) or fit(x, positive, *rest))
+    scorer = classifier.learn(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
+    kept = {r["doc_id"] for r in classifier.keep_good(docs, scorer).collect()}
+    assert len(kept & set(range(400))) >= 396 and not kept & set(range(1090, 1100))
+    few = seen[-1]
+    more = rows + [(10_000 + i, 1) for i in range(4000)]  # labels without documents
+    classifier.learn(docs, spark.createDataFrame(more, "doc_id long, quality int"), max_fit=400)
+    assert 50 < few == seen[-1]
+
+
 # ---- 10 sharding ----
 
 
