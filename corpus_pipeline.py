@@ -12,7 +12,7 @@ from quillon.llm.queries import tokenizer_path
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the rules on their own text or are depleted of lines that their host repeats; takes these lines out of the others."""
-    return quality_rules.keep_good(docs)
+    return quality_rules.keep_good(docs, max_docs=quality_rules.MAX_DOCS)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

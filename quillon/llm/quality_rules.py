@@ -3,7 +3,8 @@
 A document first passes rules on its own text (``base_failed``). Then lines count: each line is normalised (case and
 white space) and hashed together with its host; the documents of a host that hold it are counted, equal texts once.
 Lines above the limit, ``max(min_docs, share * documents of the host)``, are removed, and a document that keeps too few
-words or too small a share of its words is rejected as depleted. ``judge`` gives the verdicts and counts, ``keep_good``
+words or too small a share of its words is rejected as depleted. With ``max_docs`` the share's limit is never above that count, so that it doesn't loosen without
+bound on a large host; the query's rule is that of its SQL, without it. ``judge`` gives the verdicts and counts, ``keep_good``
 the kept documents with the texts that remain.
 
 Defined cases: a null text counts as empty; a text without words fails the base rules; a null host is a host of its
@@ -27,6 +28,8 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_DOCS = 20
 HOST_SHARE = 0.05
+#: The pipeline's absolute limit: on hosts of more than MAX_DOCS / HOST_SHARE = 20,000 texts the limit grows no more.
+MAX_DOCS = 1_000
 MIN_KEPT_SHARE = 0.3
 
 
@@ -93,7 +96,7 @@ def _lines_of(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     )
 
 
-def frequent_lines(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, host_share: float) -> DataFrame:
+def frequent_lines(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, host_share: float, max_docs: int | None) -> DataFrame:
     """Keys of the lines above the limit of their host."""
     per_line = (
         _lines_of(docs, doc_id, text, host)
@@ -110,24 +113,27 @@ def frequent_lines(docs: DataFrame, doc_id: str, text: str, host: str, min_docs:
         .groupBy("host_key")
         .agg(F.count(F.lit(1)).alias("host_docs"))
     )
-    return per_line.join(per_host, "host_key").where(F.col("n_docs") > host_share * F.col("host_docs")).select("line_key")
+    limit = host_share * F.col("host_docs")
+    if max_docs is not None:
+        limit = F.least(limit, F.lit(float(max_docs)))
+    return per_line.join(per_host, "host_key").where(F.col("n_docs") > limit).select("line_key")
 
 
-def _hits(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, host_share: float) -> DataFrame:
+def _hits(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, host_share: float, max_docs: int | None) -> DataFrame:
     """A row for each place of a document that holds a line above the limit: doc, text_key, host_key, at, words."""
-    over = frequent_lines(docs, doc_id, text, host, min_docs, host_share)
+    over = frequent_lines(docs, doc_id, text, host, min_docs, host_share, max_docs)
     hits = _lines_of(docs, doc_id, text, host).join(over, "line_key", "left_semi")
     return hits.groupBy("doc", "text_key", "host_key", "at").agg(F.max("words").alias("words"))
 
 
-def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int | None = None) -> DataFrame:
     """For each document that loses lines: doc, text_key, host_key and how many words these lines hold."""
-    return _hits(docs, doc_id, text, host, min_docs, host_share).groupBy("doc", "text_key", "host_key").agg(F.sum("words").alias("n_removed"))
+    return _hits(docs, doc_id, text, host, min_docs, host_share, max_docs).groupBy("doc", "text_key", "host_key").agg(F.sum("words").alias("n_removed"))
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int | None = None) -> DataFrame:
     """As removed_words, with the places of these lines among the text's lines."""
-    hits = _hits(docs, doc_id, text, host, min_docs, host_share)
+    hits = _hits(docs, doc_id, text, host, min_docs, host_share, max_docs)
     return hits.groupBy("doc", "text_key", "host_key").agg(F.sum("words").alias("n_removed"), F.collect_list("at").alias("places"))
 
 
@@ -138,9 +144,9 @@ def without_lines(text: Column, places: Column) -> Column:
     return bind(lines, lambda all_lines: F.array_join(F.transform(at, lambda i: F.get(all_lines, i)), "\n"))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE, max_docs: int | None = None) -> DataFrame:
     """A row for each document: the counts, base_failed, n_removed (words in removed lines) and kept."""
-    lost = removed_words(docs, doc_id, text, host, min_docs, host_share)
+    lost = removed_words(docs, doc_id, text, host, min_docs, host_share, max_docs)
     narrow = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), _host_key(host).alias("host_key"))
     counts = base_columns(narrow, "text").withColumn("text_key", F.xxhash64("text")).drop("text")
     lost = lost.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("host_key").alias("_host"), "n_removed")
@@ -157,12 +163,12 @@ def _depleted(min_kept_share: float) -> Column:
     return (F.col("n_removed") > 0) & ((left < MIN_WORDS) | (left < min_kept_share * F.col("n_words")))
 
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE, max_docs: int | None = None) -> DataFrame:
     """The documents that the rules keep, their texts without the lines above the limit; all other columns are as given.
 
     The places of the removed lines are written first: while that table is small, as its files' size tells the planner, it is sent to the documents, and no text is shuffled.
     """
-    lost = removed_lines(docs, doc_id, text, host, min_docs, host_share)
+    lost = removed_lines(docs, doc_id, text, host, min_docs, host_share, max_docs)
     lost = staged(lost.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("host_key").alias("_host"), "n_removed", "places"), "removed_lines")
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])

@@ -40,6 +40,16 @@ def test_pipeline_against_brute_force(spark):
     check_packing(corpus_pipeline.run(spark, SF).collect(), [(i, rows[i]["text"]) for i in sorted(firsts)], path)
 
 
+def test_rules_stage_has_an_absolute_limit_on_a_large_host(spark):
+    own = "array_join(transform(sequence(1, 12), k -> concat('w', id, 'x', k)), ' ')"
+    common = "CASE WHEN id < 1005 THEN '\\nshared by many' WHEN id < 2005 THEN '\\nshared by fewer' ELSE '' END"  # 1,005 and 1,000 of 21,000 documents, both under 5 %
+    docs = spark.range(21_000).selectExpr("id AS doc_id", f"{own} || {common} AS text", "'en' AS lang", "'h' AS source", "1L AS n_chars")
+    left = corpus_pipeline.quality_rules_stage(spark, docs, SF)
+    assert left.count() == 21_000 and left.where("contains(text, 'shared by many')").count() == 0
+    assert left.where("contains(text, 'shared by fewer')").count() == 1000
+    assert quality_rules.judge(docs).where("n_removed > 0").count() == 0  # the query's rule is that of its SQL
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
