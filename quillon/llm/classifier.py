@@ -25,12 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.text_arrays import Words
-from quillon.llm.word_ids import slices
+from quillon.llm.text_arrays import PIECE, Words, lengths, releasing, slices
 
 MAX_FIT = 20_000
-#: Bytes of text whose features are made at once; the arrays take some 60 times as much.
-SLICE = 1_000_000
 THRESHOLD = 0.7
 FOLDS, HELD = 4, 2
 N_FEATURES = 21
@@ -164,20 +161,13 @@ _MARKS = ["draw", "positive", "hidden"]
 def _featured(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            lengths = _lengths(batch.column("text"))
-            for a, b in slices(lengths, SLICE):
+            for a, b in slices(lengths(batch.column("text")), PIECE):
                 part = batch.slice(a, b - a)
                 x = features(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in _MARKS], lists], [*_MARKS, "x"])
 
-    return docs.mapInArrow(run, _FEATURES)
-
-
-def _lengths(column) -> list[int]:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    return docs.mapInArrow(releasing(run), _FEATURES)
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_fit: int = MAX_FIT) -> Scorer | None:
@@ -210,7 +200,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .where("positive or hidden")
         .select(*_MARKS, "text")
     )
-    found = _featured(rows).limit(4 * max_fit).toPandas().sort_values("draw")  # the limit is above the samples' size
+    found = _featured(rows).toPandas()  # about max_fit rows of each kind
+    found = found.iloc[np.lexsort([*np.stack(found["x"].to_numpy()).T, found["draw"]])] if len(found) else found
     if not found["positive"].any():
         return None
     x, positive, hidden, half = np.stack(found["x"].to_numpy()), found["positive"].to_numpy(bool), found["hidden"].to_numpy(bool), found["draw"].to_numpy() % 2 == 0
@@ -224,13 +215,13 @@ def score(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESHOLD,
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(_lengths(batch.column("text")), SLICE):
+            for a, b in slices(lengths(batch.column("text")), PIECE):
                 part = batch.slice(a, b - a)
                 values = scorer.scores(features(part.column("text"))) if scorer else np.full(b - a, 0.5)
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("held"), pa.array(values), pa.array((values >= threshold).astype(np.int32))], [doc_id, "held_out", "score", "predicted"])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc"), held_out(F.col(doc_id)).alias("held"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, f"{doc_id} long, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(releasing(run), f"{doc_id} long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -240,9 +231,9 @@ def keep_good(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESHO
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(_lengths(batch.column(names.index(text))), SLICE):
+            for a, b in slices(lengths(batch.column(names.index(text))), PIECE):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(scorer.scores(features(part.column(names.index(text)))) >= threshold))
 
     names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text whose words are hashed at once; the arrays take some 50 times as much.
+PIECE = 1 << 18
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -47,8 +54,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Of a slice of texts: data (lower case for A-Z), begin, end and hash of each word, first (word number at which each text begins)."""
 
-    def __init__(self, column: pa.Array):
-        raw, self.texts = buffers(column)
+    def __init__(self, column: pa.Array | None, raw: np.ndarray | None = None):
+        """Of a column of texts, or of the bytes of one."""
+        raw, self.texts = buffers(column) if raw is None else (raw, np.array([0, len(raw)]))
         self.raw, self.data = raw, LOWER[raw]
         word = ~_SPACE[raw]
         edge = np.empty(len(raw) + 1, bool)
@@ -92,3 +100,79 @@ class Words:
                 h = mixed(np.array([h ^ x], np.uint64))[0] + np.uint64(1)
             out[at[t]] = h
         return mixed(out), at
+
+
+def lengths(column: pa.Array) -> list[int]:
+    """Bytes of each text; null texts have none."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
+def slices(sizes: list[int], most: int = 4_000_000):
+    """Runs of rows of about that many bytes."""
+    begin, run = 0, 0
+    for i, n in enumerate(sizes):
+        if run and run + n > most:
+            yield begin, i
+            begin, run = i, 0
+        run += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def text_windows(column: pa.Array, size: int):
+    """For each text the hashes of its windows of that many words. Long texts go through in pieces that overlap by all but one word of a window, so memory beside the hashes stays at some 50 times PIECE."""
+    sizes = lengths(column)
+    for a, b in slices(sizes, PIECE):
+        if b - a == 1 and sizes[a] > 2 * PIECE:
+            yield _pieced(buffers(column.slice(a, 1))[0], size)
+            continue
+        hashes, at = Words(column.slice(a, b - a)).windows(size)
+        for t in range(b - a):
+            yield hashes[at[t] : at[t + 1]]
+
+
+def _pieced(raw: np.ndarray, size: int) -> np.ndarray:
+    found, begin, least = [], 0, PIECE
+    while True:
+        end = min(begin + least, len(raw))
+        while end < len(raw) and not _SPACE[raw[end]]:  # a piece ends where a word does
+            spaces = np.flatnonzero(_SPACE[raw[end : end + PIECE]])
+            end = end + int(spaces[0]) if len(spaces) else min(end + PIECE, len(raw))
+        words = Words(None, raw[begin:end])
+        n = len(words.begin)
+        if n < size and end < len(raw):
+            least *= 2  # blanks or very long words
+            continue
+        if n >= size or not found:
+            found.append(words.windows(size)[0])
+        if end == len(raw):
+            return np.concatenate(found)
+        begin, least = (begin + int(words.begin[n - size + 1]) if size > 1 else end), PIECE
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def releasing(run):
+    """A function over batches that gives freed memory back at the end of its partition."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole

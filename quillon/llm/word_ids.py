@@ -16,6 +16,8 @@ import os
 import unicodedata
 from array import array
 
+from quillon.llm.text_arrays import lengths, slices
+
 #: Words in a generation of a task's cache; the last full generation is kept too, and its words move over as they are met.
 CACHE_WORDS = 250_000
 LONG_WORD = 100
@@ -107,23 +109,8 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def slices(lengths: list[int], most: int = 4_000_000):
-    """Runs of rows of about that many bytes."""
-    begin, run = 0, 0
-    for i, n in enumerate(lengths):
-        if run and run + n > most:
-            yield begin, i
-            begin, run = i, 0
-        run += n
-    if begin < len(lengths):
-        yield begin, len(lengths)
-
-
 def text_rows(batch, column: str):
     """Slices of a record batch with their texts as Python strings."""
-    import pyarrow.compute as pc
-
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    for a, b in slices(lengths):
+    for a, b in slices(lengths(batch.column(column))):
         part = batch.slice(a, b - a)
         yield part, part.column(column).to_pylist()

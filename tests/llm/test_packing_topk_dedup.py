@@ -1,4 +1,6 @@
+import math
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,10 +10,11 @@ import pytest
 from cases import edited, odd_docs, odd_texts, prose
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_topk, near_dedup, packing
+from quillon.llm import exact_topk, near_dedup, packing, text_arrays
 from quillon.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.01"
+SMALL = {c: c + 32 for c in range(65, 91)}
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -101,14 +104,38 @@ def test_topk_against_brute_force(spark, monkeypatch, n, k):
 # ---- 2 near-duplicates ----
 
 
-def classes_by_hand(rows, idf):
-    sets = {t: next(near_dedup.weighted_sets(pa.array([t]), idf)) for _, t in rows if t is not None}
-    where = defaultdict(list)
-    texts = list(sets)
+def shingle_weights(rows):
+    """Plain Python: weights of five-word shingles of each distinct text, by true document frequencies."""
+    words = {t: [w.translate(SMALL) for w in re.split("[\\x20\\x09-\\x0d]+", t) if w] for _, t in rows if t is not None}
+    shingles = {t: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for t, w in words.items()}
+    n, df = 0, Counter()
+    for _, t in rows:
+        if t is not None and shingles[t]:
+            n += 1
+            df.update(shingles[t].keys())
+    floor = max(2, math.ceil(near_dedup.COMMON * n))
+    factor = {s: 1 + near_dedup.IDF_SHARE * min(1, math.log(n / (k if k >= floor else 1)) / math.log(1 / near_dedup.COMMON)) for s, k in df.items()}
+    return {t: {s: k * factor[s] for s, k in c.items()} for t, c in shingles.items()}
+
+
+def links_by_hand(sets):
+    """Pairs (places of texts) of weighted Jaccard similarity 0.8 or more, of all that share a shingle."""
+    texts, where = list(sets), defaultdict(list)
+    sums = [sum(sets[t].values()) for t in texts]
     for k, t in enumerate(texts):
-        for h in sets[t][0].tolist():
+        for h in sets[t]:
             where[h].append(k)
-    pairs = {(a, b) for ks in where.values() if len(ks) < 400 for a in ks for b in ks if a < b}
+    pairs = {(a, b) for ks in where.values() for i, a in enumerate(ks) for b in ks[i + 1 :] if min(sums[a], sums[b]) >= 0.8 * max(sums[a], sums[b])}
+    for a, b in pairs:
+        x, y = sets[texts[a]], sets[texts[b]]
+        shared = sum(min(w, y[s]) for s, w in x.items() if s in y)
+        if shared >= 0.8 * (sums[a] + sums[b] - shared):
+            yield a, b
+
+
+def classes_by_hand(rows):
+    sets = shingle_weights(rows)
+    texts = {t: k for k, t in enumerate(sets)}
     parent = list(range(len(texts)))
 
     def find(k):
@@ -116,16 +143,14 @@ def classes_by_hand(rows, idf):
             k = parent[k]
         return k
 
-    for a, b in pairs:
-        if near_dedup.weighted_jaccard(sets[texts[a]], sets[texts[b]]) >= 0.8:
-            parent[find(a)] = find(b)
+    for a, b in links_by_hand(sets):
+        parent[find(a)] = find(b)
     lowest = {}
     for i, t in rows:
         if t is not None and i is not None:
-            c = find(texts.index(t))
+            c = find(texts[t])
             lowest[c] = min(i, lowest.get(c, i))
-    place = {t: find(k) for k, t in enumerate(texts)}
-    return Counter((i, i if t is None else lowest.get(place[t])) for i, t in rows)
+    return Counter((i, i if t is None else lowest.get(find(texts[t]))) for i, t in rows)
 
 
 def test_icws_collides_like_weighted_jaccard():
@@ -152,10 +177,12 @@ def test_near_dedup_odd_rows(spark):
     assert by[4] == {(4, True)} and by[5] == {(5, True)} and by[6] == {(5, False)} and by[7] == {(7, True)}
     assert by[8] == {(8, True)} and by[9] == {(8, False)}
     assert by[10] == {(10, True)} and by[11] == {(10, False)}
-    assert by[None] == {(None, False), (1, False)}
+    assert by[None] == {(None, True), (1, False)} and by[16] == {(16, True), (16, False)}
+    links = {r["doc_id"]: r["n_links"] for r in got}
+    assert links[1] == links[2] == links[3] == 1 and links[8] == links[9] == 1 and links[4] == links[15] == links[16] == 0
     kept = near_dedup.keep_one(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns
-    assert {r["doc_id"] for r in kept.collect()} == {1, 4, 5, 7, 8, 10, 12, 13, 14, 15, 16, 17, None}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 4, 5, 7, 8, 10, 12, 13, 14, 15, 16, 17, None], key=str)
     assert near_dedup.classes_of(odd_docs(spark, [])).count() == 0
 
 
@@ -166,7 +193,34 @@ def test_near_dedup_against_brute_force(spark):
     counts, n = near_dedup.frequencies(docs)
     assert n == sum(1 for _, t in rows if t.split()) and counts.sum() > 0
     got = Counter((r["doc_id"], r["class_id"]) for r in near_dedup.classes_of(docs).collect())
-    assert got == classes_by_hand(rows, near_dedup.idf_table(counts, n))
+    assert got == classes_by_hand(rows)
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = prose(501, 90), prose(502, 70), prose(503, 60)
+    rows = [(1, a), (2, a), (2, b), (3, edited(b, [40])), (3, c), (3, c), (None, c), (None, edited(a, [50])), (None, prose(504, 50)), (None, prose(504, 50)), (4, None), (4, None), (None, None), (1, "")]
+    got = near_dedup.classes_of(odd_docs(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 8  # a, b, c, the unnamed text, the empty one, three null texts
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == classes_by_hand(rows)
+    left = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one(odd_docs(spark, rows)).collect()]
+    assert Counter(left) == Counter([(1, a), (2, b), (3, c), (None, prose(504, 50)), (4, None), (4, None), (None, None), (1, "")])
+
+
+def test_long_texts_go_through_in_pieces(monkeypatch):
+    texts = [prose(91, 3000), "\n " * 3000 + prose(92, 900) + " " * 4000, "y" * 9000 + " a b c " + "z" * 9000, "x" * 20_000, prose(93, 4), "", None]
+    whole = [h.tolist() for h in text_arrays.text_windows(pa.array(texts), 5)]
+    monkeypatch.setattr(text_arrays, "PIECE", 512)
+    assert [h.tolist() for h in text_arrays.text_windows(pa.array(texts), 5)] == whole
+    assert [len(h) for h in whole] == [2996, 896, 1, 1, 1, 0, 0]
+
+
+def test_large_keys_join_like_any_other(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", 3)
+    base = prose(601, 150)
+    rows = [(i, edited(base, [(3 * i) % 140])) for i in range(40)] + [(100 + i % 5, base) for i in range(30)] + [(200 + i, prose(700 + i, 60)) for i in range(30)]
+    got = near_dedup.classes_of(odd_docs(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == classes_by_hand(rows) and sum(r["kept"] for r in got) == 31
+    assert near_dedup.keep_one(odd_docs(spark, rows)).count() == 31
 
 
 def test_chains_and_large_groups(spark, monkeypatch):
@@ -182,6 +236,5 @@ def test_chains_and_large_groups(spark, monkeypatch):
         chain = edited(chain, [(5 * i) % 150, (5 * i + 75) % 150])
     rows += [(300 + i, prose(79, 100) + " " + prose(400 + i, 150)) for i in range(20)]  # share a passage
     docs = odd_docs(spark, rows)
-    counts, n = near_dedup.frequencies(docs)
     got = Counter((r["doc_id"], r["class_id"]) for r in near_dedup.classes_of(docs).collect())
-    assert got == classes_by_hand(rows, near_dedup.idf_table(counts, n))
+    assert got == classes_by_hand(rows)

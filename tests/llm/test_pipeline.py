@@ -5,7 +5,7 @@ from test_packing_topk_dedup import check_packing, classes_by_hand
 from test_text_operators import judge_by_hand
 
 import corpus_pipeline
-from quillon.llm import classifier, near_dedup, quality_rules
+from quillon.llm import classifier, quality_rules
 from quillon.llm.queries import QUERIES, ORACLE_SQL, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -30,8 +30,7 @@ def test_pipeline_against_brute_force(spark):
 
     left = [(i, rows[i]["text"]) for i in sorted(by_score)]
     few = dedup(spark, good, SF)
-    counts, n = near_dedup.frequencies(good)
-    classes = classes_by_hand(left, near_dedup.idf_table(counts, n))
+    classes = classes_by_hand(left)
     firsts = {i for i, c in classes if i == c}
     assert few.columns == docs.columns and {r["doc_id"] for r in few.collect()} == firsts < by_score
 
