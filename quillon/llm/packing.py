@@ -2,9 +2,11 @@
 
 Texts become token ids and pieces of at most ``CAPACITY`` tokens. The pieces' lengths are dealt to partitions of about
 ``PART_ROWS`` rows by a hash, and each partition is packed best-fit decreasing. Dual-feasible functions bound the
-partition's bin count from below: one that meets its bound is certified as best possible. Where the whole is above its
-own bound, the bins with gaps of all partitions give up their pieces; these are dealt anew, across partitions, and packed
-again, as long as this saves bins.
+partition's bin count from below: one that meets its bound is certified as best possible. The bins that aren't full of the
+partitions with a gap give up their pieces; these are dealt anew, across partitions, and packed again, as long as this
+saves bins. Where the whole is then still above its own bound, the same is done with such bins of all partitions (each
+certified one may waste part of its last bin). It ends when the whole is certified or a round saves nothing; the result
+tells the bins used and their bound.
 
 Dual-feasible functions used, for lengths x of capacity C: u_a(x) = C if x > C-a, 0 if x < a, else x, for each a up to
 C/2; and f_k(x) = x if (k+1)x/C is whole, else floor((k+1)x/C) * C/k, for k up to 20. The sum of any over C, rounded
@@ -13,8 +15,9 @@ up, is a bound.
 Defined cases: a null or empty text is a piece that holds the end id alone; null ids are kept; repeated rows are packed
 each; other columns are ignored; an empty table gives an empty result.
 
-Scale: tokenising is map-only and its narrow result (a row for each piece, no text) is written once. A task packs
-PART_ROWS rows, however many partitions there are; the driver sees counts only.
+Scale: tokenising is map-only and its narrow result (a row for each piece, no text) is written once. Pieces are dealt by
+their row number in that table, so that repeated rows are dealt like any others. A task packs about PART_ROWS rows,
+however many partitions there are; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -23,26 +26,29 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import staged
+from quillon.llm.text_arrays import releasing
 from quillon.llm.word_ids import encoder, text_rows
 
 CAPACITY = 4096
 PART_ROWS = 20_000
 LOOSE = 0.995
-ROUNDS = 4
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of each document, without their ids."""
+    """The pieces of each document, without their ids, and with a row number."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for rows, texts in text_rows(batch, "text"):
                 out = []
@@ -50,10 +56,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
                     data += end
                     for k, a in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[a : a + 4 * capacity]
-                        out.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
+                        out.append((row, doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
+                        row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, PIECE)
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(releasing(run), PIECE)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, counts: np.ndarray | None = None) -> int:
@@ -113,41 +120,43 @@ def _pack(pieces: DataFrame, n_parts: int, seed: int, capacity: int) -> DataFram
             table = table.append_column(name, pa.array(values, pa.int64()))
         return table
 
-    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32"), F.lit(n_parts)).cast("int")
-    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", key.alias("part")).groupBy("part").applyInArrow(run, _PLACED)
+    key = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n_parts)).cast("int")
+    return pieces.select("row", *_NAMES, key.alias("part")).groupBy("part").applyInArrow(run, _PLACED)
 
 
 def _parts(n: int) -> int:
     return max(1, -(-n // PART_ROWS))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """pieces (a table that is cheap to read again) with sequence_id and offset, and whether the partition is certified."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces (a written table with a row number) with sequence_id and offset, whether the partition is certified, and of the whole the sequences used and their lower bound."""
     sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
+    zero = F.lit(0).cast("long")
     if not sizes:
-        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+        return pieces.select(*_NAMES, zero.alias("sequence_id"), zero.alias("offset"), F.lit(True).alias("certified"), zero.alias("sequences"), zero.alias("bound"))
     least = lower_bound(np.array([r["length"] for r in sizes]), capacity, np.array([r["n"] for r in sizes]))
 
     def bins_in(df: DataFrame) -> int:
         return df.where("offset = 0").count()
 
     first = staged(_pack(pieces, _parts(sum(r["n"] for r in sizes)), 0, capacity), "packed-0")
-    done, used = first.withColumn("round", F.lit(0)), bins_in(first)
-    for k in range(1, rounds + 1):
-        if used <= least:
-            break
-        loose = done.where(F.col("fill") < LOOSE * capacity)
-        before, n = bins_in(loose), loose.count()
-        if before < 2:
-            break
-        again = staged(_pack(loose, _parts(n), k, capacity), f"packed-{k}")
-        after = bins_in(again)
-        if after >= before:
-            break
-        done = done.where(F.col("fill") >= LOOSE * capacity).unionByName(again.withColumn("round", F.lit(k)))
-        used += after - before
-    number = F.shiftleft(F.col("round").cast("long"), 56) + F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
-    return done.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset", (F.col("bins") <= F.col("bound")).alias("certified"))
+    done, used, turn = first.withColumn("round", F.lit(0)), bins_in(first), 0
+    slack = F.col("fill") < LOOSE * capacity
+    for give in (slack & (F.col("bins") > F.col("bound")), slack):  # partitions with a gap, then all
+        while used > least:
+            loose = done.where(give)
+            before, n = bins_in(loose), loose.count()
+            if before < 2:
+                break
+            turn += 1
+            again = staged(_pack(loose, _parts(n), turn, capacity), f"packed-{turn}")
+            after = bins_in(again)
+            if after >= before:
+                break
+            done = done.where(~give).unionByName(again.withColumn("round", F.lit(turn)))
+            used += after - before
+    number = F.shiftleft(F.col("round").cast("long"), 48) + F.shiftleft(F.col("part").cast("long"), 20) + F.col("bin")
+    return done.select(*_NAMES, number.alias("sequence_id"), "offset", (F.col("bins") <= F.col("bound")).alias("certified"), F.lit(used).cast("long").alias("sequences"), F.lit(least).cast("long").alias("bound"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
