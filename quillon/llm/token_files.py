@@ -9,9 +9,13 @@ operations on columns of groups. A file holds blocks of ``BLOCK`` ids, then a fo
 
 Any range of ids is read with the footer and the blocks that hold it alone.
 
-Writing: documents are dealt out by ranges of doc_id and sorted, each task writes one file under a name of its own and
-then moves it to its place, so a task that is run again gives the same file. The manifest (path, first id and counts of
-each file) has one row for each task; sums over it give each file's place in the whole.
+Writing: texts are tokenised where they lie, into narrow integers, and written as a table. Its rows are dealt out by
+ranges of (doc_id, text's hash, row number), so that rows of one id can go to several files, and sorted; each task writes
+one file under a name of its own and then moves it to its place, so a task that is run again gives the same file. The
+manifest (path, first id and counts of each file) has one row for each task; sums over it give each file's place in the whole.
+
+Stores: the driver resolves the folder by Spark's own rules (default store, mount points) to a full address; tasks open
+it with Arrow's file systems (file, hdfs, s3, gs, abfs).
 
 Defined cases: a null text is an empty text: only its end id; null document ids come first and are kept; repeated rows
 are written each; other columns are ignored; an empty table gives no rows.
@@ -30,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh_path
+from quillon.llm.common import fresh_path, staged
+from quillon.llm.text_arrays import releasing
 from quillon.llm.word_ids import encoder, text_rows
 
 MAGIC = b"QTOK1\0\0\0"
@@ -67,8 +72,24 @@ def unpack(data: bytes, width: int, n: int) -> np.ndarray:
     return groups.reshape(-1)[:n]
 
 
+#: Names of stores that differ between Spark and Arrow.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfs", "abfs": "abfs", "wasbs": "abfs"}
+
+
+def full_address(spark: SparkSession, path: str) -> str:
+    """The path with the store that Spark takes it to lie in, mount points resolved."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    given = jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(conf).resolvePath(given).toString()
+
+
 def _store(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    scheme, mark, rest = path.partition(":")
+    if not mark:
+        return pafs.LocalFileSystem(), path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 class TokenFileWriter:
@@ -144,21 +165,33 @@ class TokenFile:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str, int, int]]:
     """Writes the files and returns their manifest in order."""
-    width = width_for(vocabulary)
+    spark, width, kind = docs.sparkSession, width_for(vocabulary), np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    path = full_address(spark, path)
 
-    def write(batches):
-        part, out, end = TaskContext.get().partitionId(), None, np.asarray([end_id], "<u4")
+    def tokenise(batches):
+        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for rows, texts in text_rows(batch, "text"):
-                out = out or TokenFileWriter(f"{path}/part-{part:06d}.qtok", width)
-                for doc, data in zip(rows.column("doc").to_pylist(), encoder(tokenizer).encode(texts), strict=True):
-                    out.add(doc, np.append(np.frombuffer(data, "<u4"), end))
+                ids = [np.frombuffer(data + end, "<u4").astype(kind).tobytes() for data in encoder(tokenizer).encode(texts)]
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array(ids, pa.binary())], [*names, "ids"])
+
+    def write(batches):
+        part, out = TaskContext.get().partitionId(), None
+        for batch in batches:
+            out = out or TokenFileWriter(f"{path}/part-{part:06d}.qtok", width)
+            for doc, data in zip(batch.column("doc").to_pylist(), batch.column("ids"), strict=True):
+                out.add(doc, np.frombuffer(data.as_buffer(), kind).astype(np.uint32))
         if out:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{path}/part-{part:06d}.qtok"], "n_docs": [n_docs], "n_ids": [n_ids]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).repartitionByRange(F.col("doc").asc_nulls_first()).sortWithinPartitions(F.col("doc").asc_nulls_first(), F.xxhash64("text"))
-    return sorted(tuple(r) for r in ordered.mapInArrow(write, MANIFEST).collect())  # a row for each task
+    names = ["doc", "key", "row"]
+    given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    tokens = staged(given.mapInArrow(releasing(tokenise), "doc long, key long, row long, ids binary"), "token-ids")
+    order = [F.col("doc").asc_nulls_first(), F.col("key"), F.col("row")]
+    ordered = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids")
+    return sorted(tuple(r) for r in ordered.mapInArrow(releasing(write), MANIFEST).collect())  # a row for each task
 
 
 def read_tokens(spark: SparkSession, manifest: list[tuple[int, str, int, int]], doc_id: str = "doc_id") -> DataFrame:
@@ -188,7 +221,7 @@ def read_tokens(spark: SparkSession, manifest: list[tuple[int, str, int, int]],
         docs = pa.array(f.docs[a:b], mask=f.nulls[a:b].astype(bool))
         return pa.RecordBatch.from_arrays([docs, pa.array(starts[:-1] + begin), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], [doc_id, "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(read, f"{doc_id} long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(releasing(read), f"{doc_id} long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
