@@ -64,12 +64,19 @@ def test_packing_odd_rows(spark):
 def test_repacking_meets_the_bound(spark, monkeypatch):
     monkeypatch.setattr(packing, "PART_ROWS", 40)
     lengths = [int(x) for x in np.minimum(np.random.default_rng(1).lognormal(6, 1, 600) + 1, 4096)]
-    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE)
+    pieces = spark.createDataFrame([(i, i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE)
     rows = packing.pack(pieces).collect()
     assert len(rows) == 600
     used, bound = len({r["sequence_id"] for r in rows}), packing.lower_bound(np.array(lengths))
     alone = sum(len(packing.best_fit_decreasing(np.array(lengths[a : a + 40]))[2]) for a in range(0, 600, 40))
     assert bound <= used < alone and used <= bound + 2
+    assert {(r["sequences"], r["bound"]) for r in rows} == {(used, bound)}
+
+
+def test_equal_pieces_are_dealt_evenly(spark):
+    pieces = spark.range(60_000).selectExpr("id AS row", "7L AS doc_id", "0 AS piece", "0L AS start", "100L AS length", "1L AS ids_crc32")
+    parts = [r["count"] for r in packing._pack(pieces, 3, 0, 4096).groupBy("part").count().collect()]
+    assert len(parts) == 3 and max(parts) < 21_000
 
 
 # ---- 6 top-k ----

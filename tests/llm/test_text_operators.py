@@ -1,3 +1,4 @@
+import hashlib
 import os
 import re
 import zlib
@@ -10,6 +11,7 @@ from cases import odd_docs, odd_texts, prose
 from pyspark.sql import functions as F
 
 from quillon.llm import classifier, license_scan, piece_bpe, quality_rules, sharding, token_files, url_filters
+from quillon.llm.common import fresh_path
 from quillon.llm.queries import tokenizer_path
 from quillon.llm.text_arrays import Words
 from quillon.llm.word_ids import WordEncoder
@@ -208,6 +210,20 @@ def test_token_files_round_trip(spark):
     assert token_files.round_trip(odd_docs(spark, []), path, 2, 49408).count() == 0
 
 
+def test_rows_of_one_id_go_to_several_files(spark):
+    path, text = tokenizer_path("word_bpe_49k.json"), "three plain words"
+    docs = spark.range(4000).selectExpr("CASE WHEN id % 4 = 0 THEN id WHEN id % 4 = 1 THEN NULL ELSE 7 END AS doc_id", f"CASE WHEN id % 4 = 0 THEN concat('word ', id) ELSE '{text}' END AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_tokens(docs, fresh_path(spark, "many"), path, 2, 49408)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) > 3 and sum(n for _, _, n, _ in manifest) == 4000 and max(n for _, _, n, _ in manifest) < 1200
+    got = sorted(map(tuple, token_files.read_tokens(spark, manifest).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted([r[0] for r in got], key=lambda i: (i is not None, i or 0))
+    assert [r[1] for r in got] == list(np.cumsum([0, *[r[2] for r in got]])[:-1])
+
+
 # ---- 5 piece codec ----
 
 
@@ -352,6 +368,50 @@ def test_sharding(spark):
     assert sharding.assign(odd_docs(spark, [])).count() == 0
 
 
+def test_shards_are_those_of_a_plain_ring(spark):
+    """Row by row, on points and cells walked one after the other."""
+    n, rows = 4, [(i, prose(i, 1 + i * 7919 % 97)) for i in range(700)]
+    docs = odd_docs(spark, rows)
+    hashes = {r[0]: r[1] % 2**64 for r in docs.selectExpr("doc_id", "xxhash64(cast(doc_id AS string))").collect()}
+    bits, sizes = sharding.CELL_BITS, {i: len(t.encode()) + 1 for i, t in rows}
+    points = sorted((int.from_bytes(hashlib.sha256(f"shard {s} point {v}".encode()).digest()[:8], "big") >> (64 - bits), s) for s in range(n) for v in range(sharding.VNODES))
+    cells = defaultdict(list)
+    for i in sorted(hashes, key=hashes.get):
+        cells[hashes[i] >> (64 - bits)].append(i)
+    room = dict.fromkeys(range(n), -(-int(sum(sizes.values()) * (1 + sharding.SLACK)) // n) + 1)
+    clockwise = {c: list(dict.fromkeys([s for p, s in points if p >= c] + [s for p, s in points if p < c])) for c in cells}
+    left, parts = {c: sum(sizes[i] for i in held) for c, held in cells.items()}, defaultdict(list)
+    for turn in range(n):
+        for c in sorted(cells):
+            took = min(left[c], room[clockwise[c][turn]])
+            if took:
+                parts[c].append((took, clockwise[c][turn]))
+                room[clockwise[c][turn]] -= took
+                left[c] -= took
+    expected = {}
+    for c, held in cells.items():
+        run, k, upto = 0, 0, parts[c][0][0]
+        for i in held:
+            run += sizes[i]
+            while run > upto and k < len(parts[c]) - 1:
+                k += 1
+                upto += parts[c][k][0]
+            expected[i] = parts[c][k][1]
+    assert {r["doc_id"]: r["_shard"] for r in sharding.assign(docs, n_shards=n).collect()} == expected
+    assert any(len(p) > 1 for p in parts.values())
+
+
+def test_many_rows_of_one_id_are_spread(spark):
+    docs = spark.range(201_000).selectExpr("CASE WHEN id < 200000 THEN 5 ELSE id END AS doc_id", "CASE WHEN id < 200000 THEN 'the same words' ELSE concat('other words ', id, repeat(' more', id % 50)) END AS text", "1 AS _hash", "2 AS _cell", "'x' AS _row")
+    got = sharding.assign(docs)
+    assert set(docs.columns) < set(got.columns) and got.where("_hash = 1 AND _cell = 2 AND _row = 'x'").count() == 201_000
+    loads = got.groupBy("_shard").agg(F.sum("_size").alias("n"), F.count("*").alias("rows"), F.max("_slot").alias("last")).collect()
+    total = sum(r["n"] for r in loads)
+    assert len(loads) == 8 and max(r["n"] for r in loads) <= total / 8 * (1 + 2 * sharding.SLACK) + 300 and all(r["last"] == r["rows"] - 1 for r in loads)
+    with pytest.raises(ValueError):
+        sharding.assign(docs.withColumn("_slot", F.lit(1)))
+
+
 def test_bounded_loads_fill():
     owners = sharding.cell_owners(4)
     loads = {c: 1000 if c % 7 else 90_000 for c in range(0, sharding.CELLS, 64)}
