@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from quillon.io import checkpointed
 
 
-def closure(edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """src, dst and the least number of steps, by one join a step over the pairs that are new."""
-    known = edges.select("src", "dst").distinct().withColumn("depth", F.lit(1))
-    fresh = known
-    step = edges.select(F.col("src").alias("_via"), F.col("dst").alias("_to"))
-    for depth in range(2, max_depth + 1):
-        further = fresh.join(step, F.col("dst") == F.col("_via")).select("src", F.col("_to").alias("dst")).distinct()
-        fresh = checkpointed(further.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst and the least number of steps, of all pairs, however far apart.
+
+    Path lengths double: a pair at a distance of more than h and at most 2h steps has a node h steps from its start, so
+    each round joins the pairs of exactly h steps with all pairs known, and the rounds grow with the logarithm of the
+    longest distance. Each round's new pairs are checkpointed.
+    """
+    known = checkpointed(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    half = 1
+    while True:
+        first = known.where(F.col("depth") == half).select("src", F.col("dst").alias("_via"))
+        second = known.select(F.col("src").alias("_via"), "dst", "depth")
+        further = first.join(second, "_via").groupBy("src", "dst").agg((F.min("depth") + half).alias("depth"))
+        fresh = checkpointed(further.join(known, ["src", "dst"], "left_anti"))
         if not fresh.limit(1).count():
-            break
-        known = known.unionByName(fresh)
-    return known
+            return known
+        known, half = known.unionByName(fresh), 2 * half
 
 
 def cycles(edges: DataFrame) -> DataFrame:

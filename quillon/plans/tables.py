@@ -236,7 +236,7 @@ def union_all(spark, sf_dir):
     return c.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("side")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), c(src, dst, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT c.src, e.dst, depth + 1 FROM c JOIN e ON c.dst = e.src WHERE depth < 10) SELECT src, dst, min(depth)::INTEGER AS depth FROM c GROUP BY src, dst""")
+@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), c(src, dst, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT c.src, e.dst, depth + 1 FROM c JOIN e ON c.dst = e.src) SELECT src, dst, min(depth)::INTEGER AS depth FROM c GROUP BY src, dst""")
 def graph_closure(spark, sf_dir):
     """Reachability in a small graph, with the least number of steps."""
     from quillon.operators.graph import closure
