@@ -1,42 +1,89 @@
-"""Inverted-index retrieval, fusion of rankings and retrieval metrics."""
+"""Inverted-index retrieval, fusion of rankings and retrieval metrics.
+
+An index is built in one pass over the texts and written (``build``, ``write``, ``load``): a row for each term and
+document, and a row under the empty term for each document, which tells its length. A search deals the index's rows of
+query terms out by document, meets them with the queries' weighted terms (broadcast while they are few) and adds up in
+place, so that what is shuffled grows with the index of the query terms and not with queries times documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import coverage, tokens
+from quillon.functions.text import tokens
+from quillon.io import staged
+
+K1, B = 1.2, 0.75  # fixed values
+#: (query, term) rows up to which they are sent to all tasks.
+BROADCAST_TERMS = 500_000
 
-K1, B = 1.2, 0.75
+
+def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
 def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """term, doc_id, tf and dl (tokens of the document). only: a table with the terms to index; others are dropped before anything is counted."""
-    t = corpus.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    rows = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    """term, doc_id, tf and dl (tokens of the document), and for each document with tokens a row with the empty term. only: a table with the terms to index; others are dropped before anything is counted."""
+    t = corpus.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    rows = t.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
     if only is not None:
-        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        rows = rows.join(only.select("term").union(only.sparkSession.range(1).select(F.lit(""))).distinct(), "term", "left_semi")
+    return rows.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """n_docs and avgdl over documents with tokens; one row."""
-    return corpus.select(F.size(tokens(F.col(text))).alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+@dataclass(frozen=True)
+class Index:
+    """A written table of postings (term, doc_id, dl, tf)."""
 
+    table: DataFrame
 
-def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    @property
+    def postings(self) -> DataFrame:
+        return self.table.where("term != ''")
+
+    @property
+    def lengths(self) -> DataFrame:
+        """doc_id and dl of each document that has tokens."""
+        return self.table.where("term = ''").select("doc_id", "dl")
 
+    @property
+    def size(self) -> DataFrame:
+        """n_docs and avgdl; one row."""
+        return self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
-def bm25(index: DataFrame, size: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, doc_id, score of every document that holds a query term. Only the query's terms of the index are counted and joined."""
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
+    def write(self, path: str) -> None:
+        """By term, so that a search's filter on terms reads few row groups."""
+        self.table.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+
+def build(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> Index:
+    """The index of the corpus, or of the terms of only, written once to the shared folder."""
+    return Index(staged(postings(corpus, doc_id, text, only), "postings"))
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(path))
+
+
+def scores(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score (BM25), shared (distinct query terms that the document holds) and dl of every document that holds a query term; terms is a written table of query_id, term."""
+    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = F.broadcast(size)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.crossJoin(s).select("term", idf.alias("idf"), "avgdl")
+    weighted = staged(terms.join(df, "term").crossJoin(F.broadcast(index.size)).select("query_id", "term", idf.alias("idf"), "avgdl"), "weighted-terms")  # size is one row
+    few = weighted.count() <= BROADCAST_TERMS
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return terms.join(weighted, "term").join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * tf).alias("score"))
+    by_doc = wanted.repartition("doc_id")  # what is added up below stays in its task
+    met = by_doc.join(F.broadcast(weighted) if few else weighted, "term")
+    return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * tf).alias("score"), F.count(F.lit(1)).alias("shared"), F.first("dl").alias("dl"))
+
+
+def bm25(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score of every document that holds a query term."""
+    return scores(index, terms, k1, b).select("query_id", "doc_id", "score")
 
 
 def top(hits: DataFrame, k: int, score: str = "score", digits: int | None = 9) -> DataFrame:
@@ -60,11 +107,11 @@ def fuse(first: DataFrame, second: DataFrame, c: int = 60) -> DataFrame:
     return raw.withColumns({"rrf": F.col("rrf_raw") / F.max("rrf_raw").over(w), "first_scaled": scaled("s1"), "second_scaled": scaled("s2")})
 
 
-def hybrid(fused: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """.45 fusion + .35 second + .15 first + .05 share of the query's (its title's) tokens that the document holds. docs: doc_id, doc_tokens; queries: query_id, query_tokens."""
-    named = fused.join(docs, "doc_id").join(queries, "query_id")
-    score = 0.45 * F.col("rrf") + 0.35 * F.col("second_scaled") + 0.15 * F.col("first_scaled") + 0.05 * coverage(F.col("query_tokens"), F.col("doc_tokens"))
-    return top(named.withColumn("score", score), k)
+def hybrid(fused: DataFrame, cover: DataFrame, k: int, digits: int | None = 9) -> DataFrame:
+    """.45 fusion + .35 second + .15 first + .05 share of the query's (its title's) tokens that the document holds (fixed weights). cover: query_id, doc_id, coverage of the fused pairs."""
+    named = fused.join(cover, ["query_id", "doc_id"])
+    score = 0.45 * F.col("rrf") + 0.35 * F.col("second_scaled") + 0.15 * F.col("first_scaled") + 0.05 * F.col("coverage")
+    return top(named.withColumn("score", score), k, digits=digits)
 
 
 def metrics(hits: DataFrame, gold: DataFrame, ks=(1, 5, 10)) -> DataFrame:

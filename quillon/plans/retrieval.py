@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import tokens
 from quillon.io import staged, table
 from quillon.operators import retrieval
 from quillon.plans.registry import query, rounded
@@ -26,22 +25,24 @@ s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 """
 
 
-def parts(spark, sf_dir):
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    terms = staged(retrieval.query_terms(asked, "item_id", "text"), "terms")
-    return docs, retrieval.postings(docs, only=terms), retrieval.corpus_size(docs), terms
+def scored(spark, sf_dir) -> tuple[retrieval.Index, DataFrame, DataFrame]:
+    """The index of the queries' terms, built in one pass, the terms, and the scores of both rankings."""
+    terms = staged(retrieval.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), "terms")
+    index = retrieval.build(table(spark, sf_dir, "documents"), only=terms)
+    return index, terms, retrieval.scores(index, terms)
 
 
-def ranked(spark, sf_dir) -> DataFrame:
-    _, index, size, terms = parts(spark, sf_dir)
-    return retrieval.top(retrieval.bm25(index, size, terms), 10, digits=6)
+def first(scores: DataFrame) -> DataFrame:
+    return retrieval.top(scores, 10, digits=6)
 
 
-def second(spark, sf_dir) -> DataFrame:
+def second(scores: DataFrame) -> DataFrame:
     """A second ranking: distinct query terms in the document over the root of its length."""
-    _, index, _, terms = parts(spark, sf_dir)
-    hits = terms.join(index, "term").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.sqrt(F.min("dl"))).alias("score"))
-    return retrieval.top(hits, 10, digits=6)
+    return retrieval.top(scores.withColumn("score", F.col("shared") / F.sqrt("dl")), 10, digits=6)
+
+
+def ranked(spark, sf_dir) -> DataFrame:
+    return first(scored(spark, sf_dir)[2])
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 4) AS score FROM b")
@@ -60,7 +61,8 @@ g AS (SELECT *, raw / max(raw) OVER w AS rrf, CASE WHEN s1 IS NULL THEN 0 WHEN m
 @query(f"WITH {_FUSED} SELECT query_id, doc_id, round(rrf, 4) AS rrf, round(n1, 4) AS first_scaled, round(n2, 4) AS second_scaled FROM g")
 def rrf_fusion(spark, sf_dir):
     """Reciprocal rank fusion of two rankings, with scores scaled to [0, 1] in each query."""
-    return rounded(retrieval.fuse(ranked(spark, sf_dir), second(spark, sf_dir)).select("query_id", "doc_id", "rrf", "first_scaled", "second_scaled"), 4)
+    _, _, scores = scored(spark, sf_dir)
+    return rounded(retrieval.fuse(first(scores), second(scores)).select("query_id", "doc_id", "rrf", "first_scaled", "second_scaled"), 4)
 
 
 @query(rf"""WITH {_FUSED}, ti AS (SELECT doc_id, t AS held FROM tok), q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS qt FROM benchmark),
@@ -68,38 +70,39 @@ h AS (SELECT g.query_id, g.doc_id, 0.45 * rrf + 0.35 * n2 + 0.15 * n1 + 0.05 * c
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM h) SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 4) AS score FROM k WHERE rank <= 5""")
 def rrf_hybrid(spark, sf_dir):
     """Fused rankings with the coverage of the query's tokens by the document."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    held = docs.select("doc_id", tokens(F.col("text")).alias("doc_tokens"))
-    named = asked.select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("query_tokens"))
-    h = retrieval.hybrid(retrieval.fuse(ranked(spark, sf_dir), second(spark, sf_dir)), held, named, 50)
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
-    return rounded(h.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "doc_id", "rank", "score"), 4)
+    _, terms, scores = scored(spark, sf_dir)
+    a, b = first(scores), second(scores)
+    sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    cover = a.select("query_id", "doc_id", "shared").union(b.select("query_id", "doc_id", "shared")).distinct().join(sizes, "query_id").select("query_id", "doc_id", (F.col("shared") / F.col("n_terms")).alias("coverage"))
+    h = retrieval.hybrid(retrieval.fuse(a, b), cover, 5, digits=6)
+    return rounded(h.select("query_id", "doc_id", "rank", "score"), 4)
 
 
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
 
 
-def gold(spark, sf_dir) -> DataFrame:
-    """Documents that hold a query's text: candidates share its rarest term, then the text is compared."""
-    docs, index, _, terms = parts(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    rare = terms.join(wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = rare.join(wanted.select("term", "doc_id"), "term").join(asked, "query_id")
-    return near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+def gold(spark, sf_dir, index: retrieval.Index, terms: DataFrame) -> DataFrame:
+    """Documents that hold a query's text: candidates hold its rarest term, then the text is compared."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = terms.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    near = staged(rare.join(index.postings.select("term", "doc_id"), "term").select("query_id", "doc_id"), "gold-candidates")
+    return near.join(asked, "query_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
 
 
 @query(f"WITH {_BM25}, {_GOLD}, p AS (SELECT gold.query_id, min(rank) AS first, count(*) AS n_gold, count(*) FILTER (rank <= 1) AS in_1, count(*) FILTER (rank <= 5) AS in_5, count(*) FILTER (rank <= 10) AS in_10 FROM gold LEFT JOIN b ON b.query_id = gold.query_id AND b.doc_id = gold.doc_id GROUP BY ALL) SELECT count(*) AS n_queries, round(avg(coalesce(1 / first, 0)), 6) AS mrr, " + ", ".join(f"round(avg((in_{k} > 0)::INT), 6) AS query_recall_{k}, round(sum(in_{k}) / sum(n_gold), 6) AS doc_recall_{k}" for k in (1, 5, 10)) + " FROM p")
 def retrieval_metrics(spark, sf_dir):
     """Recall and reciprocal rank of BM25 against documents that hold the passage."""
-    return rounded(retrieval.metrics(ranked(spark, sf_dir), gold(spark, sf_dir)))
+    index, terms, scores = scored(spark, sf_dir)
+    return rounded(retrieval.metrics(first(scores), gold(spark, sf_dir, index, terms)))
 
 
 @query(f"WITH {_BM25}, {_GOLD}, p AS (SELECT query_id, doc_id FROM b WHERE rank <= 3), t AS (SELECT count(*) AS tp FROM p SEMI JOIN gold USING (query_id, doc_id)), c AS (SELECT (SELECT count(*) FROM p) AS n_predicted, (SELECT count(*) FROM gold) AS n_gold, tp FROM t) SELECT n_predicted, n_gold, tp AS n_hit, round(tp / n_predicted, 6) AS precision, round(coalesce(tp / nullif(n_gold, 0), 0), 6) AS recall, round(2 * tp / (n_predicted + n_gold), 6) AS f1 FROM c")
 def citation_metrics(spark, sf_dir):
     """Set-based precision, recall and F1 of cited documents."""
-    p = ranked(spark, sf_dir).where("rank <= 3").select("query_id", "doc_id", F.lit(1).alias("p"))
-    both = p.join(gold(spark, sf_dir).withColumn("g", F.lit(1)), ["query_id", "doc_id"], "full_outer")
+    index, terms, scores = scored(spark, sf_dir)
+    p = first(scores).where("rank <= 3").select("query_id", "doc_id", F.lit(1).alias("p"))
+    both = p.join(gold(spark, sf_dir, index, terms).withColumn("g", F.lit(1)), ["query_id", "doc_id"], "full_outer")
     c = both.agg(F.count("p").alias("n_predicted"), F.count("g").alias("n_gold"), F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("n_hit"))
     n = F.col("n_hit")
     return rounded(c.withColumns({"precision": F.coalesce(F.try_divide(n, F.col("n_predicted")), F.lit(0.0)), "recall": F.coalesce(F.try_divide(n, F.col("n_gold")), F.lit(0.0)), "f1": F.coalesce(F.try_divide(2 * n, F.col("n_predicted") + F.col("n_gold")), F.lit(0.0))}))

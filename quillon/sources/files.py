@@ -148,11 +148,6 @@ def append_journal(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_index(postings: DataFrame, name: str, buckets: int = 16) -> None:
-    """An inverted index bucketed by term: later joins on terms need no shuffle of it."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term", "doc_id").saveAsTable(name)
-
-
 def markdown(df: DataFrame, title: str, limit: int = 1000) -> str:
     """A small result as a Markdown table."""
     rows = df.limit(limit + 1).collect()

@@ -1,6 +1,7 @@
 """Operators on small fixtures whose answers can be worked out by hand."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -45,13 +46,37 @@ def test_text_functions(spark):
 def ranked(spark):
     docs = spark.createDataFrame([(7, "A repeated enzyme inhibition mechanism."), (2, "enzyme inhibition"), (9, "enzyme inhibition"), (5, "")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "enzyme inhibition")], "id long, text string")
-    return retrieval.top(retrieval.bm25(retrieval.postings(docs), retrieval.corpus_size(docs), retrieval.query_terms(q, "id", "text")), 10)
+    return retrieval.top(retrieval.bm25(retrieval.build(docs), retrieval.query_terms(q, "id", "text")), 10)
 
 
 def test_bm25_order_and_ties(spark):
     assert [r["doc_id"] for r in ranked(spark).orderBy("rank").collect()] == [2, 9, 7]
 
 
+def test_index_can_be_loaded_again(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 4 + i % 9))) for i in range(60)] + [(100, None), (101, " . ")], "doc_id long, text string")
+    terms = retrieval.query_terms(spark.createDataFrame([(1, "w3 w5 w16 unknown"), (2, "w0 w1")], "id long, text string"), "id", "text")
+    built = retrieval.build(docs)
+    built.write(str(tmp_path / "index"))
+    loaded = retrieval.load(spark, str(tmp_path / "index"))
+    assert one(loaded.size) == one(built.size) and one(loaded.size)["n_docs"] == 60 and loaded.lengths.count() == 60
+    rows = lambda index: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in retrieval.bm25(index, terms).collect())
+    assert rows(loaded) == rows(built) == rows(retrieval.build(docs, only=terms)) and rows(built)
+    n, average = 60, sum(3 + i % 9 for i in range(60)) / 60
+    words = {i: [f"w{(i * k) % 17}" for k in range(1, 4 + i % 9)] for i in range(60)}
+    df = {t: sum(t in w for w in words.values()) for t in ("w0", "w1")}
+    naive = {i: sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / average)) for t in ("w0", "w1") if t in w) for i, w in words.items()}
+    assert {i: s for q, i, s in rows(built) if q == 2} == pytest.approx({i: s for i, s in naive.items() if s})
+
+
+def test_closure_has_no_depth_limit(spark):
+    ring = spark.range(16).selectExpr("id AS src", "(id + 1) % 16 AS dst")
+    assert graph.closure(ring).count() == 256 and graph.cycles(ring).count() == 16
+    assert {(r["src"], r["dst"]): r["depth"] for r in graph.closure(ring).collect()} == {(a, b): (b - a - 1) % 16 + 1 for a in range(16) for b in range(16)}
+    chain = graph.closure(spark.range(1000).selectExpr("id AS src", "id + 1 AS dst"))
+    assert chain.count() == 1000 * 1001 // 2 and chain.where("depth != dst - src").count() == 0
+
+
 def test_retrieval_metrics(spark):
     hits = spark.createDataFrame([(1, 1, 10), (1, 2, 12), (2, 1, 99), (2, 2, 11)], "query_id long, rank int, doc_id long")
     gold = spark.createDataFrame([(1, 10), (1, 12), (2, 11)], "query_id long, doc_id long")

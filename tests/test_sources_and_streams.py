@@ -89,14 +89,6 @@ def test_sinks(spark, tmp_path):
         files.markdown(spark.range(5), "T", limit=3)
 
 
-def test_bucketed_index_needs_no_shuffle(spark):
-    postings = spark.range(100).selectExpr("cast(id % 10 as string) as term", "id as doc_id", "1 as tf")
-    files.write_index(postings, "postings_test", 4)
-    plan = spark.table("postings_test").groupBy("term").count()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan
-    spark.sql("DROP TABLE postings_test")
-
-
 def test_generators_are_seeded(spark):
     a, b = (synthetic.flows(spark, 50, 10, seed=3).orderBy("flow_id").collect() for _ in range(2))
     assert a == b and len(a) == 90
