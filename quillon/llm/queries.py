@@ -113,13 +113,18 @@ def _url_sql() -> str:
     ordered = sorted(url_filters.SITE_RULES, key=lambda r: -len(r[1] + r[2]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
-    words = lambda ws: " AND ".join(f"list_contains(words, '{w}')" for w in ws)
-    pattern = "CASE " + " ".join(f"WHEN {words(ws)} THEN '{name}'" for name, ws in sorted(url_filters.PATTERN_RULES, reverse=True)) + " END"
+    holds = lambda *words: " AND ".join(f"list_contains(words, '{w}')" for w in words)
+    looks = {  # in the order in which one outdoes the other
+        "poker-rules": "contains(small, '/rules/poker.')", "session-link": r"regexp_matches(small, '(^|[^a-z0-9])sessionid=')", "payday-loan": holds("payday", "loan"),
+        "online-pharmacy": holds("online", "pharmacy"), "gambling-poker": holds("poker"), "gambling-casino": holds("casino"), "free-download": holds("free", "download"),
+        "adult-porn": "len(list_filter(words, lambda w: starts_with(w, 'porn'))) > 0", "adult": holds("xxx"), "ad-host": r"regexp_matches(small, '^[^:/?#]*://([^/?#]*\.)?ads([^a-z0-9]|$)')",
+    }
+    pattern = "CASE " + " ".join(f"WHEN {look} THEN '{name}'" for name, look in looks.items()) + " END"
     return rf"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, string_split_regex(lower(coalesce(url, '')), '[^a-z0-9]+') AS words FROM pages),
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, string_split_regex(lower(coalesce(url, '')), '[^a-z0-9]+') AS words, lower(coalesce(url, '')) AS small FROM pages),
 j AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS by_rule, {pattern} AS by_pattern FROM p)
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN by_pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN by_pattern IS NULL OR by_pattern = 'poker-rules' THEN 'allow' ELSE 'block' END) AS verdict,
        CASE WHEN rule IS NULL THEN by_pattern END AS pattern FROM j
 """
 

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -229,8 +230,6 @@ def test_rows_of_one_id_go_to_several_files(spark):
 
 def test_piece_codec_equals_the_library(spark):
     import hashlib
-    import random
-
     import sentencepiece
 
     path = tokenizer_path("piece_bpe_32k.model")
@@ -252,29 +251,86 @@ def test_piece_codec_equals_the_library(spark):
 # ---- 7 URL filters ----
 
 
+def judged(spark, rows, rules=None):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, token int")
+    return sorted(map(tuple, url_filters.judge(pages, rules=rules).collect()), key=repr)
+
+
+def occurs(pattern, url):
+    """Whether the pattern occurs in the URL, character by character."""
+    text, at_begin, at_label, at_end = pattern, False, pattern.startswith("||"), False
+    if at_label or pattern.startswith("|"):
+        at_begin, text = not at_label, pattern[2 if at_label else 1 :]
+    if text.endswith("|"):
+        at_end, text = True, text[:-1]
+
+    def fits(k, i):
+        if k == len(text):
+            return not at_end or i == len(url)
+        if text[k] == "*":
+            return any(fits(k + 1, j) for j in range(i, len(url) + 1))
+        if text[k] == "^":
+            edge = i in (0, len(url)) and fits(k + 1, i)
+            return edge or i < len(url) and not ("a" <= url[i] <= "z" or "0" <= url[i] <= "9") and fits(k + 1, i + 1)
+        return i < len(url) and url[i] == text[k] and fits(k + 1, i + 1)
+
+    if at_begin:
+        return fits(0, 0)
+    if at_label:
+        begin = url.find("://")
+        if begin < 0 or set(url[:begin]) & set(":/?#"):
+            return False
+        host = re.split(r"[/?#]", url[begin + 3 :])[0]
+        return any(fits(0, begin + 3 + k) for k in range(len(host) + 1) if k == 0 or host[k - 1] == ".")
+    return any(fits(0, i) for i in range(len(url) + 1))
+
+
+def judge_url(u, site_rules, pattern_rules):
+    """Every rule on the URL."""
+    rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
+    host = re.split(r"[/?#]", rest)[0]
+    path = re.split(r"[?#]", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fit = [(len(h + p), h + p, v) for v, h, p in site_rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fit:
+        return host, path, max(fit)[1], max(fit)[2], None
+    small = (u or "").lower()
+    found = max(((v == "allow", n, v) for v, n, ps in pattern_rules if all(occurs(p.lower(), small) for p in ps)), default=None)
+    return host, path, None, found[2] if found else "allow", found[1] if found else None
+
+
 def test_url_filters(spark):
     urls = [
         "http://Example.ORG/es/1", "https://example.org/en/12", "https://a.b.example.org/en/2", "http://badexample.org/es/", "http://x.com/fr/", "http://x.com/de/a?b", "http://com/de/",
         "http://x.net/online-casino/", "http://x.org/casino", "http://x.net/casinos", "no scheme", None, "", "http://", "://host/p#f", "http://a://b/c", "http://x.com?de/", "http://x.org", "http://x.net/FREE/download", "http://é.com/de/\n", "http://x\n.com/de/",
-    ]
+        "http://ads.x.net/", "http://m.ads-track.x.net", "http://loads.x.net/ads", "http://x.net/pornstuff", "http://x.net/a?SessionID=5", "http://x.net/rules/poker.html", "poker", "http://x.net/" + "long/" * 20_000 + "poker", "http://x.net/" + "k" * 90_000,
+    ]
     rows = [(i, u, "h", "d", 1) for i, u in enumerate(urls)] + [(0, urls[0], "h", "d", 1), (None, urls[5], None, None, None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, token int")
-    got = sorted(map(tuple, url_filters.judge(pages).collect()), key=repr)
-
-    def by_hand(u):
-        rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
-        host = re.split(r"[/?#]", rest)[0]
-        path = re.split(r"[?#]", rest[len(host) :])[0]
-        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
-        fit = [(len(h + p), h + p, v) for v, h, p in url_filters.SITE_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        words = set(re.split("[^a-z0-9]+", (u or "").lower()))
-        pattern = max((n for n, ws in url_filters.PATTERN_RULES if set(ws) <= words), default=None)
-        if fit:
-            return host, path, max(fit)[1], max(fit)[2], None
-        return host, path, None, "block" if pattern else "allow", pattern
-
-    assert got == sorted([(r[0], *by_hand(r[1])) for r in rows], key=repr)
-    assert url_filters.judge(pages.limit(0)).count() == 0
+    short = lambda u: u and re.sub("k{9,}", "k", re.sub("(long/)+", "long/", u))
+    expected = sorted([(r[0], *judge_url(short(r[1]), url_filters.SITE_RULES, url_filters.PATTERN_RULES)) for r in rows], key=repr)
+    got = judged(spark, rows)
+    assert sorted([(i, h, short(p), *more) for i, h, p, *more in got], key=repr) == expected and max(len(r[2]) for r in got) > 90_000
+    assert {r[5] for r in expected} >= {"ad-host", "adult-porn", "session-link", "poker-rules", "gambling-poker", "gambling-casino", "free-download"}
+    assert judged(spark, []) == []
+    assert {r[4] for r in judged(spark, rows, url_filters.rule_table(spark, [], []))} == {"allow"}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_many_rules_against_running_each(spark, monkeypatch, broadcast):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    ends = [["", "^", "|", "*"], ["", "^", "||", "|http"]]
+    patterns = [[rng.choice(ends[1]) + rng.choice(["", "^", "*", "/", "."]).join(word() for _ in range(rng.randint(1, 3))) + rng.choice(ends[0]) for _ in range(rng.choice([1, 1, 2]))] for _ in range(1500)]
+    pattern_rules = [(rng.choice(["block"] * 4 + ["allow"]), f"r{i:04d}", p) for i, p in enumerate(patterns)]
+    pattern_rules = [r for r in pattern_rules if sum(map(len, r[2])) > 6]
+    site_rules = [(rng.choice(["block", "allow"]), f"{word()}.{rng.choice(['x', 'y'])}", "/" + "/".join(word() for _ in range(rng.randint(0, 2)))) for _ in range(60)]
+    site_rules = list({h + p: (v, h, p) for v, h, p in site_rules}.values())
+    urls = ["http://" + ".".join([word() for _ in range(rng.randint(0, 2))] + [word(), rng.choice("xyz")]) + "".join("/" + word() for _ in range(rng.randint(0, 3))) + rng.choice(["", "/", "?" + word(), "#" + word().upper(), "-" + word()]) for _ in range(250)]
+    monkeypatch.setattr(url_filters, "BROADCAST_RULES", 10_000 if broadcast else 1)
+    got = judged(spark, [(i, u, "h", "d", 1) for i, u in enumerate(urls)], url_filters.rule_table(spark, site_rules, pattern_rules))
+    assert got == sorted([(i, *judge_url(u, site_rules, pattern_rules)) for i, u in enumerate(urls)], key=repr)
+    assert len({r[5] for r in got}) > 20 and {r[4] for r in got} == {"allow", "block"}
+    assert sum(not url_filters.pattern_tokens(p) for _, _, ps in pattern_rules for p in ps) > 20
 
 
 # ---- 8 classifier ----
