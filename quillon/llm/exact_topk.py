@@ -1,32 +1,42 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection in each tile, tree merging of top lists.
 
-Vectors are quantised to integers, floor(scale * x), so that scores are exact. Candidates are packed into blocks of
-about ``CANDIDATE_BLOCK`` vectors and queries into blocks of about ``QUERY_BLOCK``; each query block is sent to each
-candidate block (the candidates move once), a tile is one matrix product, and each query keeps the tile's k best by
-(score descending, id ascending). Lists are merged ``FAN_IN`` at a time until one is left for each query.
+Vectors are quantised to integers, floor(scale * x), so that scores are exact. The candidates stay where they lie, in
+shards that are the table's own partitions; they are not shuffled. The queries, a stated set, go to the tasks in chunks of
+at most about ``CHUNK_BYTES``, broadcast one after the other. A task holds a chunk and streams its candidates through it:
+a tile of ``CANDIDATE_TILE`` candidates and ``QUERY_TILE`` queries is one matrix product, of which each query keeps the k
+best by (score descending, id ascending), merged with its best so far. The lists of the tasks are merged ``FAN_IN`` at a
+time until one is left for each query.
+
+Products run in the narrowest floating-point numbers in which every score is a whole number; values so large that a score
+could reach 2^53 are refused.
 
 Defined cases: rows with a null id, a null vector, or null or non-finite components take no part; vectors of other
 lengths count as filled up with zeros; a query never meets rows of its own id; repeated candidate rows are listed once
 each; a repeated query id is asked once, with its smallest vector; a query with fewer than k candidates lists them all;
-an empty table gives an empty result; other columns are ignored. Scores must stay within 2^53.
+an empty table gives an empty result; other columns are ignored.
 
-Scale: memory of a task is one candidate block, one query block and their product, whatever the table's size.
+Scale: the candidates are read once for each chunk of queries, which is what the products cost too; what is shuffled are
+k entries for each query and task. A task's memory is a chunk of queries, their top lists and one tile.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import staged
+from quillon.llm.text_arrays import releasing
+
 K = 20
 SCALE = 64
-CANDIDATE_BLOCK = 2048
-QUERY_BLOCK = 512
+CANDIDATE_TILE = 2048
+QUERY_TILE = 512
+CHUNK_BYTES = 16_000_000
 FAN_IN = 16
-
-_BLOCK = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary())])
+_LISTS = "query_id long, tile int, best array<struct<cost:long,vec_id:long>>"
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = SCALE) -> DataFrame:
@@ -38,32 +48,20 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = SCAL
     )
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    rows = table.column("v").combine_chunks()
-    rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
-    lengths = np.diff(np.asarray(rows.offsets))
-    width, values = int(lengths.max(initial=0)), np.asarray(rows.flatten(), dtype=np.float64)
-    matrix = np.zeros((len(rows), width))
-    matrix[np.arange(width) < lengths[:, None]] = values
-    ids = np.asarray(table.column("vec_id"), dtype=np.int64)
-    order = np.argsort(ids, kind="stable")
-    made = {"block": [table.column("block")[0].as_py()], "n": [len(ids)], "ids": [ids[order].tobytes()], "matrix": [matrix[order].tobytes()]}
-    return pa.table(made, schema=_BLOCK)
-
-
-def _blocks(vectors: DataFrame, n: int) -> DataFrame:
-    keyed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return keyed.groupBy("block").applyInArrow(_pack, "block int, n int, ids binary, matrix binary")
+def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
+    """Vectors as rows, filled up with zeros."""
+    lengths = np.diff(np.asarray(column.offsets))
+    out = np.zeros((len(column), width), kind)
+    out[np.arange(width) < lengths[:, None]] = np.asarray(column.flatten())
+    return out
 
 
 def _tile(q_ids, q, c_ids, c, k):
-    """For each query its k best candidates of the tile: scores and ids, best first, -1 counts where there are fewer."""
-    width = max(q.shape[1], c.shape[1])
-    q, c = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, c))
-    scores = q @ c.T
+    """For each query its k best candidates of the tile (ids ascend): scores and ids, best first, and which are real."""
+    scores = (q @ c.T).astype(np.float64)
     own = q_ids[:, None] == c_ids[None, :]
     k = min(k, c.shape[0])
-    if np.abs(scores).max(initial=0) * c.shape[0] < 2**52:  # score and place in one exact number; ids ascend with place
+    if np.abs(scores).max(initial=0) * c.shape[0] < 2**52:  # score and place in one exact number
         rank = scores * c.shape[0] - np.arange(c.shape[0])
         rank[own] = -np.inf
         best = np.argpartition(-rank, k - 1, axis=1)[:, :k]
@@ -74,32 +72,87 @@ def _tile(q_ids, q, c_ids, c, k):
     return np.take_along_axis(scores, best, 1), c_ids[best], ~np.take_along_axis(own, best, 1)
 
 
-def _tiles(k: int):
+class TopLists:
+    """The k best so far of each query of a chunk."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.costs = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)  # negative scores; the largest number marks a free place
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
+
+    def meet(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        order = np.argsort(c_ids, kind="stable")
+        c_ids, c = c_ids[order], c[order]
+        for a in range(0, len(self.ids), QUERY_TILE):
+            rows = slice(a, a + QUERY_TILE)
+            scores, ids, real = _tile(self.ids[rows], self.queries[rows], c_ids, c, self.k)
+            costs = np.concatenate([self.costs[rows], _costs(scores, real)], 1)
+            ids = np.concatenate([self.found[rows], ids], 1)
+            by_id = np.argsort(ids, axis=1, kind="stable")
+            by_cost = np.argsort(np.take_along_axis(costs, by_id, 1), axis=1, kind="stable")
+            best = np.take_along_axis(by_id, by_cost, 1)[:, : self.k]
+            self.costs[rows], self.found[rows] = np.take_along_axis(costs, best, 1), np.take_along_axis(ids, best, 1)
+
+    def batches(self, tile: int, size: int = 5000):
+        for a in range(0, len(self.ids), size):
+            costs, found = self.costs[a : a + size], self.found[a : a + size]
+            real = costs != np.iinfo(np.int64).max
+            ends = pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(costs[real]), pa.array(found[real])], ["cost", "vec_id"]))
+            ids = self.ids[a : a + size]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), tile, np.int32)), lists], ["query_id", "tile", "best"])
+
+
+def _costs(scores: np.ndarray, real: np.ndarray) -> np.ndarray:
+    out = np.full(scores.shape, np.iinfo(np.int64).max, np.int64)
+    out[real] = -scores[real].astype(np.int64)
+    return out
+
+
+def _lists(candidates: DataFrame, chunk: pa.Table, width: int, kind, k: int) -> DataFrame:
+    """The k best of each query of the chunk in each partition of the candidates."""
+    ids = np.asarray(chunk.column("vec_id"), np.int64)
+    queries = _matrix(chunk.column("v").combine_chunks(), width, kind)
+    sent = candidates.sparkSession.sparkContext.broadcast((ids, queries))  # about CHUNK_BYTES
+
     def run(batches):
+        lists = None
         for batch in batches:
-            for row in batch.to_pylist():
-                (q_ids, q), (c_ids, c) = ((np.frombuffer(row[f"{s}_ids"], np.int64), np.frombuffer(row[f"{s}_matrix"]).reshape(row[f"{s}_n"], -1)) for s in "qc")
-                scores, ids, real = _tile(q_ids, q, c_ids, c, k)
-                counts = real.sum(1)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(-scores[real].astype(np.int64)), pa.array(ids[real])], ["cost", "vec_id"]),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.full(len(q_ids), row["block"], np.int32)), lists], ["query_id", "tile", "best"])
+            for a in range(0, len(batch), CANDIDATE_TILE):
+                part = batch.slice(a, CANDIDATE_TILE)
+                lists = lists or TopLists(*sent.value, k)
+                lists.meet(np.asarray(part.column("vec_id"), np.int64), _matrix(part.column("v"), width, kind))
+        if lists:
+            yield from lists.batches(TaskContext.get().partitionId())
 
-    return run
+    return candidates.mapInArrow(releasing(run), _LISTS)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score."""
-    all_rows = quantised(vectors, vec_id, embedding, scale)
+    spark, candidates = vectors.sparkSession, quantised(vectors, vec_id, embedding, scale)
     asked = quantised(vectors.where(is_query), vec_id, embedding, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, m = all_rows.count(), asked.count()
-    n_blocks, m_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    candidates = _blocks(all_rows, n_blocks).toDF("block", "c_n", "c_ids", "c_matrix")
-    queries = _blocks(asked, m_blocks).drop("block").toDF("q_n", "q_ids", "q_matrix").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    lists = candidates.join(queries, "block").mapInArrow(_tiles(k), "query_id long, tile int, best array<struct<cost:long,vec_id:long>>")
-    left = n_blocks
+    largest = F.aggregate("v", F.lit(0.0), lambda m, e: F.greatest(m, F.abs(e)))
+    most = candidates.agg(F.max(largest).alias("value"), F.max(F.size("v")).alias("width")).first()
+    value, width = most["value"] or 0.0, most["width"] or 0
+    if value * value * width >= 2**53:
+        raise ValueError("components are too large for exact scores")
+    kind = np.float32 if value * value * width < 2**24 else np.float64
+    if value < 2**15:
+        narrow = lambda df: df.withColumn("v", F.col("v").cast("array<smallint>"))
+        candidates, asked = narrow(candidates), narrow(asked)
+    asked = staged(asked, "queries")
+    n_chunks = -(-asked.count() * max(width, 2 * k) * np.dtype(kind).itemsize // CHUNK_BYTES)
+    if not n_chunks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks))
+    lists = None
+    for n in range(n_chunks):
+        chunk = asked.where(place == n).toArrow()
+        if len(chunk):
+            found = staged(_lists(candidates, chunk, width, kind, k), "top-lists")
+            lists = found if lists is None else lists.unionByName(found)
+    left = (lists.agg(F.max("tile")).first()[0] or 0) + 1  # tiles have the numbers of the tasks' partitions
     while True:
         lists = lists.groupBy("query_id", F.floor(F.col("tile") / FAN_IN).cast("int").alias("tile")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
         if (left := -(-left // FAN_IN)) <= 1:

@@ -97,8 +97,10 @@ def topk_by_hand(rows, k):
 
 @pytest.mark.parametrize("n,k", [(0, 20), (3, 20), (90, 5), (300, 20)])
 def test_topk_against_brute_force(spark, monkeypatch, n, k):
-    monkeypatch.setattr(exact_topk, "CANDIDATE_BLOCK", 16)
-    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(exact_topk, "CANDIDATE_TILE", 16)
+    monkeypatch.setattr(exact_topk, "QUERY_TILE", 4)
+    monkeypatch.setattr(exact_topk, "FAN_IN", 2)
+    monkeypatch.setattr(exact_topk, "CHUNK_BYTES", 16_000_000 if n == 1 else 500)
     rng = np.random.default_rng(n)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 2]) for i in range(n)]  # many ties
     if n > 50:
