@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import hash_unit
+from quillon.io import staged
 
 
 def hash_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
@@ -39,16 +40,26 @@ def paired(events: DataFrame) -> DataFrame:
     """i (from 0, by user) and d: each user's mean value of clicks less that of views."""
     arm = lambda a: F.avg(F.when(F.col("event_type") == a, F.col("value")))
     arms = events.groupBy("user_id").agg(arm("view").alias("a"), arm("click").alias("b")).where("a is not null and b is not null")
-    return arms.select((F.row_number().over(Window.orderBy("user_id")) - 1).cast("long").alias("i"), (F.col("b") - F.col("a")).alias("d"))  # a row for each user
+    return numbered(arms, "user_id").select(F.col("_i").alias("i"), (F.col("b") - F.col("a")).alias("d"))
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Adds _i, from 0 in the order of a unique key: ranges of the key are numbered apart, then moved by the sizes of those before."""
+    parts = staged(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each range
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return parts.join(F.broadcast(before), "_part").withColumn("_i", (F.col("_before") + local - 1).cast("long")).drop("_part", "_before")
 
 
 def bootstrap(pairs: DataFrame, replicates: int, seed: str) -> DataFrame:
     """n, the mean difference, and its 95 % percentile interval over hashed draws with replacement."""
-    whole = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("delta"))
-    slots = whole.select("n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    draws = slots.select("rep", (hash_unit(F.lit(seed), F.col("rep").cast("string"), F.col("k").cast("string")) % F.col("n")).alias("i"))
+    spark, whole = pairs.sparkSession, pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("delta"))
+    n = max(pairs.count(), 1)
+    slots = spark.range(replicates * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("k"))
+    draws = slots.select("rep", (hash_unit(F.lit(seed), F.col("rep").cast("string"), F.col("k").cast("string")) % n).alias("i"))
     means = draws.join(pairs, "i").groupBy("rep").agg(F.avg("d").alias("m"))
-    ends = means.agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
+    ends = means.agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))  # a row for each replicate
     return whole.crossJoin(ends)  # one row each
 
 

@@ -46,19 +46,12 @@ def fuzzy_validation(spark, sf_dir):
 _SIMS = f"""{_FUZZY}, sims AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, a.label AS own, {_MIN} / {_MAX} AS s FROM fz a JOIN fz b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"""
 
 
-def similar(spark, sf_dir) -> DataFrame:
-    """A stated query set (ids divisible by 50) against all vectors, in blocks."""
-    f = fuzzy(spark, sf_dir)
-    return pairs.against_all(f, f.where("vec_id % 50 = 0"), "vec_id", "v", "jaccard")
-
-
 @query(f"""WITH {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS k FROM sims), v AS (SELECT query_id, own, label, sum(s) AS w FROM r WHERE k <= 15 GROUP BY ALL), t AS (SELECT query_id, own, sum(w) AS total FROM v GROUP BY ALL)
 SELECT query_id, own AS label, arg_max(v.label, (round(w, 6), -v.label)) AS voted, round(max(w) / min(total), 6) AS share FROM v JOIN t USING (query_id, own) GROUP BY ALL""")
 def fuzzy_knn(spark, sf_dir):
     """Similarity-weighted vote of the fifteen nearest."""
-    f = fuzzy(spark, sf_dir).select("vec_id", "label")
-    w = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "vec_id")
-    near = similar(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 15")
+    whole = fuzzy(spark, sf_dir)
+    f, near = whole.select("vec_id", "label"), pairs.nearest(whole, whole.where("vec_id % 50 = 0"), "vec_id", "v", pairs.jaccard, 15)
     votes = near.join(f.withColumnRenamed("label", "their"), "vec_id").groupBy("query_id", "their").agg(F.sum("similarity").alias("w"))
     g = votes.groupBy("query_id").agg(F.max_by("their", F.struct(F.round("w", 6), -F.col("their"))).alias("voted"), (F.max("w") / F.sum("w")).alias("share"))
     return rounded(g.join(f.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "label", "voted", "share"))
@@ -67,9 +60,8 @@ def fuzzy_knn(spark, sf_dir):
 @query(f"""WITH {_SIMS} SELECT own = label AS same_label, count(*) AS n, round(avg(s), 6) AS mean_similarity, round(min(s), 6) AS least, round(max(s), 6) AS most FROM sims GROUP BY ALL""")
 def similarity_gap(spark, sf_dir):
     """Similarities within and between labels."""
-    f = fuzzy(spark, sf_dir).select("vec_id", "label")
-    s = similar(spark, sf_dir).join(f, "vec_id").join(f.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    return rounded(s.groupBy((F.col("own") == F.col("label")).alias("same_label")).agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean_similarity"), F.min("similarity").alias("least"), F.max("similarity").alias("most")))
+    f = fuzzy(spark, sf_dir)
+    return rounded(pairs.summary(f, f.where("vec_id % 50 = 0"), "vec_id", "v", pairs.jaccard, "label"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
@@ -78,9 +70,8 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, round(s, 6) AS similarity FROM r
 def cosine_topk(spark, sf_dir):
     """The five nearest vectors by cosine."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    w = Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "vec_id")
-    s = pairs.against_all(e, e.where("vec_id % 50 = 0"), "vec_id", "e", "cosine")
-    return rounded(s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "rank", "vec_id", "similarity"))
+    s = pairs.nearest(e, e.where("vec_id % 50 = 0"), "vec_id", "e", pairs.cosine, 5, digits=6)
+    return rounded(s.select("query_id", "rank", "vec_id", "similarity"))
 
 
 _NEAR = """edges AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]) ** 2 FOR i IN range(1, 65)])) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"""
@@ -90,9 +81,8 @@ _NEAR = """edges AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum([(a.
 def radius_graph(spark, sf_dir):
     """Neighbours within a radius, eight a source at most."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    s = pairs.against_all(e, e.where("vec_id % 50 = 0"), "vec_id", "e", "distance").where("similarity <= 1.2")
-    w = Window.partitionBy("query_id").orderBy(F.round("similarity", 6), "vec_id")
-    return rounded(s.withColumn("k", F.row_number().over(w)).where("k <= 8").select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("similarity").alias("dist")))
+    s = pairs.nearest(e, e.where("vec_id % 50 = 0"), "vec_id", "e", pairs.distance, 8, near_is_large=False, within=1.2, digits=6)
+    return rounded(s.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("similarity").alias("dist")))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part), r AS (SELECT max(a) - min(a) AS ra, max(b) - min(b) AS rb FROM p), d AS (SELECT q.p_partkey AS query_id, c.p_partkey AS other, (abs(q.a - c.a) / ra + abs(q.b - c.b) / rb) / 2 AS mean_gap, greatest(abs(q.a - c.a) / ra, abs(q.b - c.b) / rb) AS max_gap FROM p q JOIN p c ON q.p_partkey <> c.p_partkey, r WHERE q.p_partkey % 50 = 0),
@@ -102,9 +92,8 @@ def nearest_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
     r = p.agg(*[(F.max(c) - F.min(c)).alias(f"r{c}") for c in "ab"])
     v = p.crossJoin(F.broadcast(r)).select("id", F.array(F.col("a") / F.col("ra"), F.col("b") / F.col("rb")).alias("v"))  # one row
-    d = pairs.against_all(v, v.where("id % 50 = 0"), "id", "v", "gaps")
-    w = Window.partitionBy("query_id").orderBy(F.round("similarity", 9), F.round("most", 9), "id")
-    return rounded(d.withColumn("k", F.row_number().over(w)).where("k <= 3").select("query_id", F.col("id").alias("other"), F.col("similarity").alias("mean_gap"), F.col("most").alias("max_gap")))
+    d = pairs.nearest(v, v.where("id % 50 = 0"), "id", "v", pairs.mean_gap, 3, near_is_large=False, then=pairs.max_gap)
+    return rounded(d.select("query_id", F.col("id").alias("other"), F.col("similarity").alias("mean_gap"), F.col("most").alias("max_gap")))
 
 
 @query("""WITH s AS (SELECT vec_id, label, ('0x' || substr(sha256('acq|' || vec_id), 1, 8))::BIGINT AS h, abs(embedding[1]::DOUBLE) AS u FROM embeddings), chosen AS (SELECT vec_id FROM s ORDER BY h, vec_id LIMIT 50), rest AS (SELECT * FROM s ANTI JOIN chosen USING (vec_id)), r AS (SELECT *, row_number() OVER (ORDER BY u DESC, h) AS k FROM rest) SELECT vec_id, label, round(u, 6) AS uncertainty, k::INTEGER AS k FROM r WHERE k <= 20""")
