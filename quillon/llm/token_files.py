@@ -9,10 +9,11 @@ operations on columns of groups. A file holds blocks of ``BLOCK`` ids, then a fo
 
 Any range of ids is read with the footer and the blocks that hold it alone.
 
-Writing: texts are tokenised where they lie, into narrow integers, and written as a table. Its rows are dealt out by
-ranges of (doc_id, text's hash, row number), so that rows of one id can go to several files, and sorted; each task writes
-one file under a name of its own and then moves it to its place, so a task that is run again gives the same file. The
-manifest (path, first id and counts of each file) has one row for each task; sums over it give each file's place in the whole.
+Writing: documents are dealt out by ranges of (doc_id, text's hash, row number), so that rows of one id can go to several
+files, and sorted; each task tokenises its texts and writes one file under a name of its own, then moves it to its place,
+so a task that is run again gives the same file. (Ids take as many bytes as the text, so nothing is saved by tokenising
+before the shuffle.) The manifest (path, first id and counts of each file) has one row for each task; sums over it give
+each file's place in the whole.
 
 Stores: the driver resolves the folder by Spark's own rules (default store, mount points) to a full address; tasks open
 it with Arrow's file systems (file, hdfs, s3, gs, abfs).
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh_path, staged
+from quillon.llm.common import fresh_path
 from quillon.llm.text_arrays import releasing
 from quillon.llm.word_ids import encoder, text_rows
 
@@ -165,32 +166,25 @@ class TokenFile:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str, int, int]]:
     """Writes the files and returns their manifest in order."""
-    spark, width, kind = docs.sparkSession, width_for(vocabulary), np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
-    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    spark, width = docs.sparkSession, width_for(vocabulary)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
     path = full_address(spark, path)
 
-    def tokenise(batches):
-        end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
-            for rows, texts in text_rows(batch, "text"):
-                ids = [np.frombuffer(data + end, "<u4").astype(kind).tobytes() for data in encoder(tokenizer).encode(texts)]
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array(ids, pa.binary())], [*names, "ids"])
-
     def write(batches):
-        part, out = TaskContext.get().partitionId(), None
+        part, out, end = TaskContext.get().partitionId(), None, np.asarray([end_id], "<u4")
         for batch in batches:
-            out = out or TokenFileWriter(f"{path}/part-{part:06d}.qtok", width)
-            for doc, data in zip(batch.column("doc").to_pylist(), batch.column("ids"), strict=True):
-                out.add(doc, np.frombuffer(data.as_buffer(), kind).astype(np.uint32))
+            for rows, texts in text_rows(batch, "text"):
+                out = out or TokenFileWriter(f"{path}/part-{part:06d}.qtok", width)
+                for doc, data in zip(rows.column("doc").to_pylist(), encoder(tokenizer).encode(texts), strict=True):
+                    out.add(doc, np.append(np.frombuffer(data, "<u4"), end))
         if out:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{path}/part-{part:06d}.qtok"], "n_docs": [n_docs], "n_ids": [n_ids]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    names = ["doc", "key", "row"]
-    given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    tokens = staged(given.mapInArrow(releasing(tokenise), "doc long, key long, row long, ids binary"), "token-ids")
     order = [F.col("doc").asc_nulls_first(), F.col("key"), F.col("row")]
-    ordered = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids")
+    given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    ordered = given.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "text")
     return sorted(tuple(r) for r in ordered.mapInArrow(releasing(write), MANIFEST).collect())  # a row for each task
 
 
