@@ -1,67 +1,58 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 A text is read as lower-case words (runs of letters and digits) and hashed three-word shingles. Templates are sorted
-into size classes. In a class whose windows hold W words, a template has at most 3W/4 words and the windows start every
-W/4 words, so each occurrence lies whole in one window, of whose shingles it makes up over a third. A window that holds
-a template's share c of shingles therefore has a Jaccard similarity s of at least c * 3/8 / (1 + (1-c) * 3/8) with it;
-with one row a band, all ``BANDS`` = 32 bands miss with probability (1-s)^32: under 3e-5 at c = 0.8 and under 1e-6 for
-whole notices. Retrieved pairs are verified: the share of the template's distinct shingles in the window is counted
-exactly and must reach ``MIN_CONTAINMENT``. Of variants of one notice in a window (the GPL's versions, say) the one that
-holds all that the other shares, and a greater share of itself, is reported.
+into size classes. In a class whose windows hold W shingles, a template has at most 3W/4 of them and the windows start
+every W/4 shingles, so each occurrence lies whole in one window, of whose shingles it makes up over 3/8 (in the least
+class, whose windows are short, perhaps less). All windows of all texts are hashed; nothing else retrieves.
 
-Only windows that hold some shingle of some template of their class are cut out and hashed: others have containment 0.
+MinHash takes its one-permutation form: a window's signature are its ``BANDS`` smallest distinct shingle hashes, each a
+band of its own, and a template is retrieved by every window that shares a band with it. Let U be the distinct shingles
+of window and template together and I the shared ones. Each of the BANDS smallest of U that is shared is a band of both,
+so all bands miss with a probability of C(U-I, BANDS) / C(U, BANDS), less than (1 - I/U)^BANDS: for any template and window
+of up to 32 shingles 0, for longer ones under 3e-5 at a containment of 0.8 and under 4e-7 for whole notices. Signatures of
+large windows are merged from those of their halves, so each window is hashed once.
+
+Retrieved pairs are verified: the share of the template's distinct shingles in the window is counted exactly and must
+reach ``MIN_CONTAINMENT``. Of variants of one notice in a window (the GPL's versions, say) the one that holds all that the
+other shares, and a greater share of itself, is reported.
 
 Defined cases: null, empty and short texts hold no license; a document that repeats a notice, and repeated rows, give
-one row for each document and license (its places of best containment); other columns are ignored; an empty table gives
-an empty result.
+one row for each document and license (its places of best containment); rows without doc_id count as one document; long
+texts go through in segments that overlap by a window; templates of fewer than three words are left out; other columns
+are ignored; an empty table, or no templates, give an empty result.
 
-Scale: map-only up to the final grouping by document, which carries matches only. Templates are a parameter; their index
-is broadcast, its size is bounded by MAX_TEMPLATES.
+Scale: map-only up to the final grouping by document, which carries matches only. A row holds one segment's windows.
+Templates are a parameter; the index of their bands is broadcast, its size is bounded by MAX_TEMPLATES * BANDS rows, and
+windows are probed by the set of its keys in place.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bind, literal_table
+from quillon.llm.common import bind
+from quillon.llm.license_texts import TEMPLATES
 
 SHINGLE = 3
 BANDS = 32
+LEAST_WINDOW = 8
+SEGMENT = 8192
 MIN_CONTAINMENT = 0.8
 MAX_TEMPLATES = 2_000
 
-TEMPLATES = [
-    ("all-rights-reserved", "All rights reserved."),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Licensed under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc0-1.0", "This work has been dedicated to the public domain under CC0 1.0 Universal."),
-]
-
 
 def plain_words(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
 def size_class(n_words: int) -> int:
-    """Words of a window for templates of that many words: the least 8 * 2^k with n_words <= 3/4 of it."""
-    size = 8
-    while 4 * n_words > 3 * size:
+    """Shingles of a window for templates of that many words: the least 8 * 2^k of which the template's shingles are at most 3/4."""
+    size = LEAST_WINDOW
+    while 4 * (n_words - SHINGLE + 1) > 3 * size:
         size *= 2
     return size
 
@@ -78,49 +69,72 @@ def _shingles(words: Column) -> Column:
     return F.when(F.size(words) < SHINGLE, F.array().cast("array<bigint>")).otherwise(made)
 
 
-def _minhashes(shingles: Column) -> Column:
-    def least(band: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(F.lit(band), x)))
-
-    return F.array(*[least(band) for band in range(BANDS)])
+def _least(hashes: Column) -> Column:
+    """The bands of a set of shingles."""
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, BANDS)
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, license, window size, distinct shingles."""
-    rows = [(i, name, size_class(len(words)), " ".join(words)) for i, (name, text) in enumerate(templates) if len(words := plain_words(text)) >= SHINGLE]
+    """template, license, window size, distinct shingles and bands."""
+    rows = [{"template": i, "license": name, "size": size_class(len(words)), "words": " ".join(words)} for i, (name, text) in enumerate(templates) if len(words := plain_words(text)) >= SHINGLE]
     if len(rows) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
-    made = literal_table(spark, rows, {"template": "int", "license": "string", "size": "int", "words": "string"})
-    return made.withColumn("t_shingles", F.array_distinct(_shingles(F.split("words", " ")))).drop("words")
+    made = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<template:int,license:string,size:int,words:string>>")))
+    return made.select("template", "license", "size", F.array_distinct(_shingles(F.split("words", " "))).alias("t_shingles")).withColumn("t_bands", _least(F.col("t_shingles")))
+
+
+def _segments(docs: DataFrame, doc_id: str, text: str, overlap: int) -> DataFrame:
+    """doc, base (number of the first shingle), own (shingles up to the next segment) and part (they and the overlap)."""
+    whole = docs.select(F.col(doc_id).alias("doc"), _shingles(_words(F.col(text))).alias("shingles")).where(F.size("shingles") > 0)
+    bases = F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(SEGMENT))
+    cut = bind(F.col("shingles"), lambda h: F.transform(bases, lambda b: F.struct(b.alias("base"), F.least(F.lit(SEGMENT), F.size(h) - b).alias("own"), F.slice(h, b + 1, SEGMENT + overlap).alias("part"))))
+    return whole.select("doc", F.explode(cut).alias("s")).select("doc", "s.base", "s.own", "s.part")
+
+
+def _bands(size: int) -> Column:
+    """The bands of each window of a segment; those of large windows from their halves'."""
+    starts, step = F.sequence(F.lit(0), F.floor((F.size("part") - 1) / F.lit(size // 4)).cast("int")), size // 4
+    if size == LEAST_WINDOW or size // 2 <= BANDS:
+        return F.transform(starts, lambda k: _least(F.slice("part", k * step + 1, size)))
+    half = lambda k: F.coalesce(F.get(f"bands_{size // 2}", k), F.array().cast("array<bigint>"))
+    return F.transform(starts, lambda k: _least(F.concat(half(2 * k), half(2 * k + 4))))
+
+
+def _window(size: int):
+    step = size // 4
+    return lambda k: F.struct(F.lit(size).alias("size"), (F.col("base") + k * step).alias("start"), F.slice("part", k * step + 1, size).alias("window"))
+
+
+def _hits(segments: DataFrame, keys: dict[int, list[int]]) -> DataFrame:
+    """doc, size, start, window and bands of the windows that share a band with a template of their class; keys: bands of all templates of each class."""
+    found, size, rows = [], LEAST_WINDOW, segments
+    while size <= max(keys):
+        if size > BANDS:  # smaller windows are their own signatures
+            rows = rows.withColumn(f"bands_{size}", _bands(size))
+        if size in keys:
+            known = ", ".join(f"{x}L" for x in sorted(keys[size]))
+            step, own = size // 4, f"bands_{size}[k]" if size > BANDS else f"slice(part, k * {size // 4} + 1, {size})"
+            near = F.expr(f"filter(sequence(0, cast(floor((own - 1) / {step}) AS int)), k -> exists({own}, x -> x IN ({known})))")
+            found.append(F.transform(near, _window(size)))
+        size *= 2
+    return rows.select("doc", F.explode(F.concat(*found)).alias("w")).select("doc", "w.*").withColumn("bands", _least(F.col("window")))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """A row for each document and license found in it: first_word (of the first place, from 0), n_places and containment, of the places of best containment."""
     spark = docs.sparkSession
     table = template_table(spark, templates)
-    known = {r["size"]: sorted(r["all"]) for r in table.groupBy("size").agg(F.array_distinct(F.flatten(F.collect_list("t_shingles"))).alias("all")).collect()}  # of the templates only
-    every = F.array(*[F.lit(x) for x in sorted({x for xs in known.values() for x in xs})])
-    near = docs.select(F.col(doc_id).alias("doc"), _shingles(_words(F.col(text))).alias("shingles")).where(F.arrays_overlap("shingles", every))
-
-    def windows(size: int, shingles: list[int]) -> Column:
-        """Of one class: where those windows start that hold a known shingle."""
-        own, step = F.array(*[F.lit(x) for x in shingles]), size // 4
-        spots = F.filter(F.transform(F.col("shingles"), lambda x, i: F.when(F.array_contains(own, x), i)), lambda i: i.isNotNull())
-        last = size - SHINGLE
-        starts = F.flatten(F.transform(spots, lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - last) / F.lit(step)).cast("int")), F.floor(p / F.lit(step)).cast("int"))))
-        return F.transform(F.array_distinct(starts), lambda k: F.struct(F.lit(size).alias("size"), (k * step).alias("start")))
-
-    cut = (
-        near.select("doc", "shingles", F.explode(F.concat(*[windows(size, xs) for size, xs in sorted(known.items())])).alias("w"))
-        .select("doc", F.col("w.size").alias("size"), F.col("w.start").alias("start"), F.slice("shingles", F.col("w.start") + 1, F.col("w.size") - SHINGLE + 1).alias("window"))
-        .select("doc", "size", "start", "window", F.posexplode(_minhashes(F.col("window"))).alias("band", "key"))
-    )
-    index = table.select("template", "license", "size", "t_shingles", F.posexplode(_minhashes(F.col("t_shingles"))).alias("band", "key"))
+    keys = {r["size"]: r["all"] for r in table.groupBy("size").agg(F.array_distinct(F.flatten(F.collect_list("t_bands"))).alias("all")).collect()}  # at most MAX_TEMPLATES * BANDS numbers
+    if not keys:
+        return docs.sparkSession.createDataFrame([], f"{doc_id} {dict(docs.dtypes)[doc_id]}, license string, first_word int, n_places long, containment double")
+    windows = _hits(_segments(docs, doc_id, text, max(keys)), keys)
+    index = table.select("template", "license", "size", "t_shingles", F.explode("t_bands").alias("band"))
     shared = F.array_intersect("t_shingles", "window")
     first = F.array_min(F.filter(F.transform(F.col("window"), lambda x, i: F.when(F.array_contains("t_shingles", x), i)), lambda i: i.isNotNull()))
     hit = F.struct("license", F.col("containment").alias("share"), "shared", (F.col("start") + first).alias("at"))
     in_window = (
-        cut.join(F.broadcast(index), ["size", "band", "key"])
+        windows.select("doc", "size", "start", "window", F.explode("bands").alias("band"))
+        .join(F.broadcast(index), ["size", "band"])
         .withColumn("shared", shared)
         .withColumn("containment", F.size("shared") / F.size("t_shingles"))
         .where(F.col("containment") >= min_containment)
