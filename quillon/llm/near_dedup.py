@@ -64,6 +64,7 @@ TILE = 200
 LONG_SAMPLES = 192
 LONG_EQUAL = 132
 LARGE = 1_000
+TEXT_BLOCK = 50
 MAX_LARGE = 20_000
 ID_BUCKETS = 1 << 20
 
@@ -231,10 +232,10 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
 # ---- joins in which a key can have very many rows ----
 
 
-def large_keys(sized: DataFrame, *keys: str) -> DataFrame | None:
-    """Of a table with one row (keys, size) for each key: those that more than LARGE rows share, and more than a MAX_LARGE-th of all rows, so that they are fewer than MAX_LARGE; None if there are none."""
+def large_keys(sized: DataFrame, *keys: str, least: int = LARGE) -> DataFrame | None:
+    """Of a table with one row (keys, size) for each key: those that more than least rows share, and more than a MAX_LARGE-th of all rows, so that they are fewer than MAX_LARGE; None if there are none."""
     total = sized.agg(F.sum("size")).first()[0] or 0
-    found = sized.where(F.col("size") > max(LARGE, total // MAX_LARGE)).select(*keys, "size")
+    found = sized.where(F.col("size") > max(least, total // MAX_LARGE)).select(*keys, "size")
     found = staged(found.coalesce(1), "large")
     return found if found.limit(1).count() else None
 
@@ -331,7 +332,7 @@ def node_texts(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """x, y, similarity of the pairs (x, y) of nodes; texts has node, text. A y of many pairs is compared in blocks of LARGE."""
+    """x, y, similarity of the pairs (x, y) of nodes; texts has node, text. A y of many pairs is compared in blocks of TEXT_BLOCK."""
 
     def compare(batches):
         of, last, own = weights.value, None, None
@@ -346,11 +347,11 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("x_text")), "x")
     right = texts.select(F.col("node").alias("y"), F.col("text").alias("y_text"))
-    large = large_keys(pairs.groupBy("y").agg(F.count(F.lit(1)).alias("size")), "y")
+    large = large_keys(pairs.groupBy("y").agg(F.count(F.lit(1)).alias("size")), "y", least=TEXT_BLOCK)
     if large is None:
         both = left.join(right, "y")
     else:
-        blocks = F.broadcast(large.select("y", F.ceil(F.col("size") / LARGE).cast("int").alias("blocks")))
+        blocks = F.broadcast(large.select("y", F.ceil(F.col("size") / TEXT_BLOCK).cast("int").alias("blocks")))
         many = F.coalesce("blocks", F.lit(1))
         left = left.join(blocks, "y", "left").withColumn("block", F.pmod(F.xxhash64("x"), many).cast("int")).drop("blocks")
         right = right.join(blocks, "y", "left").select("y", "y_text", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"))
@@ -478,12 +479,14 @@ def units(tiles: DataFrame, sigs: DataFrame) -> DataFrame:
 def class_links(asked: DataFrame, classes: DataFrame, signed: DataFrame, weights) -> DataFrame:
     """Edges (a, b) between x and a member of the class, for each unit (class, x) that has any. Classes are cut into tiles, and those that ask into blocks; signed has node, text, long_sig of all nodes that can be on an edge."""
     asks = asked.groupBy(F.col("class").alias("label")).agg(F.ceil(F.count(F.lit(1)) / BUCKET_TILE).cast("int").alias("ask_blocks"))
-    wanted = classes.select("label", F.ceil(F.col("class_size") / TILE).cast("int").alias("tiles")).distinct().join(asks, "label").select(F.col("label").alias("class"), "tiles", "ask_blocks")
+    sizes = classes.groupBy("label").agg(F.first("class_size").alias("class_size")).join(asks, "label")
+    wanted = sizes.select(F.col("label").alias("class"), F.ceil(F.col("class_size") / TILE).cast("int").alias("tiles"), "ask_blocks", F.greatest("class_size", F.col("ask_blocks") * BUCKET_TILE).alias("size"))
+    wanted, large = wanted.drop("size"), large_keys(wanted, "class")
     own = lambda c: F.pmod(F.xxhash64(F.lit(9), "node"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = classes.select("node", F.col("label").alias("class")).join(wanted, "class")
+    members = joined(classes.select("node", F.col("label").alias("class")), wanted, large, "class")
     right = members.select("class", "node", own("tiles").alias("tile"), F.lit(False).alias("asks"), every("ask_blocks").alias("block"))
-    left = asked.select("class", F.col("x").alias("node")).join(wanted, "class").select("class", "node", every("tiles").alias("tile"), F.lit(True).alias("asks"), own("ask_blocks").alias("block"))
+    left = joined(asked.select("class", F.col("x").alias("node")), wanted, large, "class").select("class", "node", every("tiles").alias("tile"), F.lit(True).alias("asks"), own("ask_blocks").alias("block"))
 
     def link(batches):
         of, at, held = weights.value, None, []
