@@ -12,8 +12,10 @@ own; repeated rows each get a verdict, and count once as they have equal texts;
 ignored by the queries and pass through ``keep_good`` untouched (also a stored length of the text as it was); an empty table gives an empty result.
 
 Scale: both passes over the text are map-only. What is shuffled is one (hash, text hash) pair for each line, combined
-before the shuffle, and then only the lines above the limit. No row carries text across a shuffle in ``judge``; in
-``keep_good`` the kept documents are shuffled only where the places of removed lines are too many to send to each task.
+before the shuffle. The lines above the limit, hashes by host, are sent to all tasks while there are at most ``MAX_SENT``
+(a host's are at most its mean number of lines over its share), and the second pass finds and removes them in place: no
+row carries text across a shuffle. Where there are more, the places of such lines are joined to the documents instead,
+with equal results: ``judge`` then shuffles counts, ``keep_good`` the kept documents.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ HOST_SHARE = 0.05
 #: The pipeline's absolute limit: on hosts of more than MAX_DOCS / HOST_SHARE = 20,000 texts the limit grows no more.
 MAX_DOCS = 1_000
 MIN_KEPT_SHARE = 0.3
+#: Hashes of lines above the limit, of all hosts together, up to which they are sent to all tasks (8 bytes each).
+MAX_SENT = 1_000_000
 
 
 def repeated_words(words: Column) -> Column:
@@ -87,10 +91,9 @@ def _host_key(host: str) -> Column:
 
 def _lines_of(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """A row for each line that has words: whose it is, its hash within its host, its words."""
-    plain = F.lower(F.regexp_replace(F.btrim(F.col("line"), F.lit(SPACES)), SPACE_CLASS, " "))
     return (
         docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_key"), _host_key(host).alias("host_key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-        .withColumn("plain", plain)
+        .withColumn("plain", _plain(F.col("line")))
         .where("plain != ''")
         .select("doc", "text_key", "host_key", "at", F.xxhash64("host_key", "plain").alias("line_key"), F.size(F.split("plain", " ")).alias("words"))
     )
@@ -116,25 +119,44 @@ def frequent_lines(docs: DataFrame, doc_id: str, text: str, host: str, min_docs:
     limit = host_share * F.col("host_docs")
     if max_docs is not None:
         limit = F.least(limit, F.lit(float(max_docs)))
-    return per_line.join(per_host, "host_key").where(F.col("n_docs") > limit).select("line_key")
+    return staged(per_line.join(per_host, "host_key").where(F.col("n_docs") > limit).select("host_key", "line_key"), "frequent-lines")
 
 
-def _hits(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, host_share: float, max_docs: int | None) -> DataFrame:
-    """A row for each place of a document that holds a line above the limit: doc, text_key, host_key, at, words."""
-    over = frequent_lines(docs, doc_id, text, host, min_docs, host_share, max_docs)
-    hits = _lines_of(docs, doc_id, text, host).join(over, "line_key", "left_semi")
-    return hits.groupBy("doc", "text_key", "host_key", "at").agg(F.max("words").alias("words"))
+def _plain(line: Column) -> Column:
+    """A line without differences of case and white space."""
+    return F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), SPACE_CLASS, " "))
+
+
+def _with_lines(rows: DataFrame, over: DataFrame, text: str) -> DataFrame:
+    """rows (with host_key) and line_keys, the hashes of the lines above the limit of the row's host that its text holds (null or empty: none). over has at most MAX_SENT rows."""
+    by_host = over.groupBy("host_key").agg(F.collect_list("line_key").alias("host_lines"))
+    hashed = F.transform(F.split(text, "\n"), lambda line: F.xxhash64("host_key", _plain(line)))
+    held = F.when(F.col("host_lines").isNotNull(), F.array_intersect(hashed, "host_lines"))  # blank lines are never above the limit
+    return rows.join(F.broadcast(by_host), "host_key", "left").withColumn("line_keys", held).drop("host_lines")
+
+
+def _in_lines(text: str, body, empty: Column) -> Column:
+    """body(lines, whether a line is above the limit), of the lines of the text if it holds any such line."""
+    gone = lambda line: F.array_contains("line_keys", F.xxhash64("host_key", _plain(line)))
+    return F.when(F.coalesce(F.size("line_keys"), F.lit(0)) > 0, body(F.split(text, "\n"), gone)).otherwise(empty)
 
 
-def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int | None = None) -> DataFrame:
-    """For each document that loses lines: doc, text_key, host_key and how many words these lines hold."""
-    return _hits(docs, doc_id, text, host, min_docs, host_share, max_docs).groupBy("doc", "text_key", "host_key").agg(F.sum("words").alias("n_removed"))
+def _removed(text: str) -> Column:
+    words = lambda lines, gone: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.when(gone(x), F.size(F.split(_plain(x), " "))).otherwise(0))
+    return _in_lines(text, words, F.lit(0).cast("long"))
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int | None = None) -> DataFrame:
-    """As removed_words, with the places of these lines among the text's lines."""
-    hits = _hits(docs, doc_id, text, host, min_docs, host_share, max_docs)
-    return hits.groupBy("doc", "text_key", "host_key").agg(F.sum("words").alias("n_removed"), F.collect_list("at").alias("places"))
+def _hits(docs: DataFrame, doc_id: str, text: str, host: str, over: DataFrame) -> DataFrame:
+    """A row for each place of a document that holds a line above the limit: doc, text_key, host_key, at, words."""
+    hits = _lines_of(docs, doc_id, text, host).join(over, ["host_key", "line_key"], "left_semi")
+    return hits.groupBy("doc", "text_key", "host_key", "at").agg(F.max("words").alias("words"))
+
+
+def removed_lines(docs: DataFrame, doc_id: str, text: str, host: str, over: DataFrame) -> DataFrame:
+    """For each document that loses lines: _doc, _key and _host, how many words these lines hold, and their places among the text's lines."""
+    hits = _hits(docs, doc_id, text, host, over)
+    lost = hits.groupBy("doc", "text_key", "host_key").agg(F.sum("words").alias("n_removed"), F.collect_list("at").alias("places"))
+    return lost.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("host_key").alias("_host"), "n_removed", "places")
 
 
 def without_lines(text: Column, places: Column) -> Column:
@@ -146,13 +168,16 @@ def without_lines(text: Column, places: Column) -> Column:
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE, max_docs: int | None = None) -> DataFrame:
     """A row for each document: the counts, base_failed, n_removed (words in removed lines) and kept."""
-    lost = removed_words(docs, doc_id, text, host, min_docs, host_share, max_docs)
+    over = frequent_lines(docs, doc_id, text, host, min_docs, host_share, max_docs)
     narrow = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), _host_key(host).alias("host_key"))
-    counts = base_columns(narrow, "text").withColumn("text_key", F.xxhash64("text")).drop("text")
-    lost = lost.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("host_key").alias("_host"), "n_removed")
+    if over.count() <= MAX_SENT:
+        found = base_columns(_with_lines(narrow, over, "text").withColumn("n_removed", _removed("text")).drop("line_keys", "host_key"), "text")
+    else:
+        lost = removed_lines(docs, doc_id, text, host, over).drop("places")
+        counts = base_columns(narrow, "text").withColumn("text_key", F.xxhash64("text")).drop("text")
+        found = counts.join(lost, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")) & (F.col("host_key") == F.col("_host")), "left")
     return (
-        counts.join(lost, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")) & (F.col("host_key") == F.col("_host")), "left")
-        .withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
+        found.withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ~_depleted(min_kept_share))
         .select(F.col("doc").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
     )
@@ -164,17 +189,20 @@ def _depleted(min_kept_share: float) -> Column:
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_kept_share: float = MIN_KEPT_SHARE, max_docs: int | None = None) -> DataFrame:
-    """The documents that the rules keep, their texts without the lines above the limit; all other columns are as given.
-
-    The places of the removed lines are written first: while that table is small, as its files' size tells the planner, it is sent to the documents, and no text is shuffled.
-    """
-    lost = removed_lines(docs, doc_id, text, host, min_docs, host_share, max_docs)
-    lost = staged(lost.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("host_key").alias("_host"), "n_removed", "places"), "removed_lines")
+    """The documents that the rules keep, their texts without the lines above the limit; all other columns are as given."""
+    over = frequent_lines(docs, doc_id, text, host, min_docs, host_share, max_docs)
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = {c: f"c{i}" for i, c in enumerate(names)}
-    good = base_columns(inner, at[text]).where(~F.col("base_failed"))
-    same = F.col(at[doc_id]).eqNullSafe(F.col("_doc")) & (F.xxhash64(at[text]) == F.col("_key")) & (_host_key(at[host]) == F.col("_host"))
-    kept = good.join(lost, same, "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0))).where(~_depleted(min_kept_share))
-    rest = F.when(F.col("places").isNull(), F.col(at[text])).otherwise(without_lines(F.col(at[text]), F.col("places")))
+    body = at[text]
+    if over.count() <= MAX_SENT:
+        good = base_columns(_with_lines(inner.withColumn("host_key", _host_key(at[host])), over, body), body).where(~F.col("base_failed"))
+        kept = good.withColumn("n_removed", _removed(body)).where(~_depleted(min_kept_share))
+        rest = _in_lines(body, lambda lines, gone: F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"), F.col(body))
+    else:
+        lost = staged(removed_lines(docs, doc_id, text, host, over), "removed-lines")
+        good = base_columns(inner, body).where(~F.col("base_failed"))
+        same = F.col(at[doc_id]).eqNullSafe(F.col("_doc")) & (F.xxhash64(body) == F.col("_key")) & (_host_key(at[host]) == F.col("_host"))
+        kept = good.join(lost, same, "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0))).where(~_depleted(min_kept_share))
+        rest = F.when(F.col("places").isNull(), F.col(body)).otherwise(without_lines(F.col(body), F.col("places")))
     return kept.select(*[(rest if c == text else F.col(at[c])).alias(c) for c in names])

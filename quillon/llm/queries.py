@@ -83,7 +83,7 @@ tt AS (SELECT template, license, size, list_distinct([w[i] || ' ' || w[i+1] || '
 d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, [w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN range(1, len(w) - 1)] AS s FROM d WHERE len(w) >= 3),
 c AS (SELECT doc_id, s, template, license, size, ts FROM s JOIN tt ON list_has_any(s, ts)),
-w AS (SELECT doc_id, license, size, ts, k * (size // 4) AS start, s[k * (size // 4) + 1 : k * (size // 4) + size - 2] AS win
+w AS (SELECT doc_id, license, size, ts, k * (size // 4) AS start, s[k * (size // 4) + 1 : k * (size // 4) + size] AS win
       FROM (SELECT *, unnest(range(0, len(s) // (size // 4) + 1)) AS k FROM c)),
 m AS (SELECT doc_id, license, size, start, list_intersect(ts, win) AS shared, len(list_intersect(ts, win)) / len(ts) AS containment,
              start + list_min([i - 1 FOR i IN range(1, len(win) + 1) IF list_contains(ts, win[i])]) AS place
@@ -138,8 +138,8 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 l AS (SELECT doc_id, text, source, lower(regexp_replace(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
       FROM (SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS line FROM documents)),
 o AS (SELECT source, plain FROM l WHERE plain <> '' GROUP BY source, plain HAVING count(DISTINCT text) > {quality_rules.MIN_DOCS}
-      AND count(DISTINCT text) > {quality_rules.HOST_SHARE} * (SELECT count(DISTINCT text) FROM documents x WHERE x.source = l.source)),
-gone AS (SELECT doc_id, sum(len(string_split(plain, ' '))) AS n FROM l SEMI JOIN o USING (source, plain) GROUP BY doc_id),
+      AND count(DISTINCT text) > {quality_rules.HOST_SHARE} * (SELECT count(DISTINCT text) FROM documents x WHERE x.source IS NOT DISTINCT FROM l.source)),
+gone AS (SELECT doc_id, sum(len(string_split(plain, ' '))) AS n FROM l SEMI JOIN o ON l.source IS NOT DISTINCT FROM o.source AND l.plain = o.plain GROUP BY doc_id),
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
              CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,

@@ -110,6 +110,12 @@ def test_topk_against_brute_force(spark, monkeypatch, n, k):
     assert sorted(map(tuple, got.collect())) == topk_by_hand(rows, k)
 
 
+def test_topk_refuses_scores_that_are_not_exact(spark):
+    frame = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        exact_topk.search(frame, F.col("vec_id") == 0)
+
+
 # ---- 2 near-duplicates ----
 
 
@@ -225,6 +231,7 @@ def test_long_texts_go_through_in_pieces(monkeypatch):
 
 def test_large_keys_join_like_any_other(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LARGE", 3)
+    monkeypatch.setattr(near_dedup, "TEXT_BLOCK", 3)
     base = prose(601, 150)
     rows = [(i, edited(base, [(3 * i) % 140])) for i in range(40)] + [(100 + i % 5, base) for i in range(30)] + [(200 + i, prose(700 + i, 60)) for i in range(30)]
     got = near_dedup.classes_of(odd_docs(spark, rows)).collect()
