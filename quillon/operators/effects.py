@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import causal
 
+MAX_CANDIDATES = 15
 METHODS = ("difference_in_means", "g_computation", "ipw", "aipw")
 
 
@@ -64,7 +65,7 @@ def _separated(edges: list[tuple[str, str]], a: str, b: str, given: set[str]) ->
 
 
 def adjustment_sets(edges: list[tuple[str, str]], treatment: str, outcome: str, observed: list[str]) -> list[tuple[str, ...]]:
-    """Minimal sets of observed variables, none after the treatment, that close all back doors."""
+    """Minimal sets of observed variables, none after the treatment, that close all back doors. All subsets are tried, so more than MAX_CANDIDATES usable variables are refused."""
     below, todo = set(), [treatment]
     while todo:
         v = todo.pop()
@@ -73,6 +74,8 @@ def adjustment_sets(edges: list[tuple[str, str]], treatment: str, outcome: str,
                 below.add(d)
                 todo.append(d)
     back, usable, found = [e for e in edges if e[0] != treatment], sorted(v for v in observed if v not in below and v not in (treatment, outcome)), []
+    if len(usable) > MAX_CANDIDATES:
+        raise ValueError(f"more than {MAX_CANDIDATES} candidates for adjustment")
     for size in range(len(usable) + 1):
         for chosen in combinations(usable, size):
             if not any(set(f) <= set(chosen) for f in found) and _separated(back, treatment, outcome, set(chosen)):

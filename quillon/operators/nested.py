@@ -27,3 +27,9 @@ def fenced_body(raw: Column) -> Column:
     inner = F.regexp_extract(raw, r"(?s)```[a-z]*\n(.*?)\n```", 1)
     body = F.trim(F.regexp_extract(inner, r"(?s)^.*?\bby\b(.*)$", 1))
     return F.when(body == "", "error: empty proof").otherwise(body)
+
+
+def strict_score(doc: Column, gold_doc: Column, stance: Column, gold_stance: Column, called: Column, gold: Column, most: int) -> Column:
+    """1 if document and stance are right and all gold sentences are among the first ``most`` called, else 0."""
+    whole = F.size(F.array_except(gold, F.slice(called, 1, most))) == 0
+    return ((doc == gold_doc) & (stance == gold_stance) & whole).cast("int")

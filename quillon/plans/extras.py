@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.io import table
 from quillon.operators import effects, learners, nested
-from quillon.plans.causal import frame
+from quillon.plans.causal import _FRAME, frame
 from quillon.plans.evaluation import scored
 from quillon.plans.registry import query, rounded
 
@@ -112,12 +112,19 @@ def top_per_group(spark, sf_dir):
     return d.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "l_partkey"))).where("k <= 3")
 
 
-@query()
+_PC = "greatest(0.05, least(0.95, p))"
+
+
+@query(f"""WITH {_FRAME}, a AS (SELECT avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) AS e, sqrt(var_samp(y) FILTER (t = 1) / count(*) FILTER (t = 1) + var_samp(y) FILTER (t = 0) / count(*) FILTER (t = 0)) AS se FROM fr),
+g AS (SELECT count(*) AS n, covar_pop(t, t) AS tt, covar_pop(t, x1) AS tx, covar_pop(x1, x1) AS xx, covar_pop(t, y) AS ty, covar_pop(x1, y) AS xy, covar_pop(y, y) AS yy FROM fr), b AS (SELECT *, (ty * xx - xy * tx) / (tt * xx - tx * tx) AS bt, (xy * tt - ty * tx) / (tt * xx - tx * tx) AS bx FROM g),
+z AS (SELECT avg(s) AS e, stddev_samp(s) / sqrt(count(s)) AS se FROM (SELECT m1 - m0 + t * (y - m1) / {_PC} - (1 - t) * (y - m0) / (1 - {_PC}) AS s FROM fr))
+SELECT 'difference_in_means' AS method, round(e, 4) AS effect, round(se, 4) AS se, 'ok' AS status FROM a UNION ALL SELECT 'g_computation', round(bt, 4), round(sqrt(n * (yy - bt * ty - bx * xy) / (n - 3) / (n * (tt - tx * tx / xx))), 4), 'ok' FROM b
+UNION ALL SELECT 'ipw', round(avg(t * y / {_PC} - (1 - t) * y / (1 - {_PC})), 4), NULL, 'ok' FROM fr UNION ALL SELECT 'aipw', round(e, 4), round(se, 4), 'ok' FROM z""")
 def effect_methods(spark, sf_dir):
     """Four estimators behind one function, with the status of each."""
     f = frame(spark, sf_dir)
-    rows = [effects.estimate(f, m, ["x1", "x2"]) for m in ("difference_in_means", "g_computation", "ipw", "aipw")]
-    return spark.createDataFrame(rows, "method string, effect double, se double, status string")
+    rows = [effects.estimate(f, m, ["x1"]) for m in ("difference_in_means", "g_computation", "ipw", "aipw")]
+    return rounded(spark.createDataFrame(rows, "method string, effect double, se double, status string"), 4)
 
 
 @query()

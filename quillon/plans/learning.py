@@ -1,4 +1,4 @@
-"""Fitted models and sequential methods: rows of these can't be had from SQL, tests hold them against definitions."""
+"""Fitted models, sequential methods and seeded generators. Fits can't be had from SQL; tests hold them against definitions."""
 
 from __future__ import annotations
 
@@ -9,9 +9,18 @@ from quillon.io import table
 from quillon.operators import forecasting, learners, pca
 from quillon.plans.causal import frame
 from quillon.plans.registry import query, rounded
-from quillon.plans.timeseries import hours
+from quillon.plans.resampling import _h
+from quillon.plans.timeseries import HOURLY, hours
 from quillon.sources import synthetic
 
+def _unit(seed: int, *parts) -> str:
+    return f"(({_h(f"'{seed}'", 'id', *[f"'{p}'" for p in parts])})::DOUBLE + 0.5) / 4294967296"
+
+
+def _normal(seed: int, *parts) -> str:
+    return f"sqrt(-2 * ln({_unit(seed, *parts, 'r')})) * cos(2 * pi() * {_unit(seed, *parts, 'a')})"
+
+
 _X = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -60,7 +69,9 @@ def recursive_forecast(spark, sf_dir):
     return rounded(forecasting.recursive(hours(spark, sf_dir), 24))
 
 
-@query()
+@query(f"""WITH {HOURLY}, w AS (SELECT series, hour, y, CASE WHEN count(y) OVER p = 25 THEN (sum(y) OVER p - (lag(y, 12) OVER s + lead(y, 12) OVER s) / 2) / 24 END AS trend FROM h WINDOW s AS (PARTITION BY series ORDER BY hour), p AS (PARTITION BY series ORDER BY hour ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+ph AS (SELECT series, hour % 24 AS phase, avg(y - trend) AS raw FROM w WHERE trend IS NOT NULL GROUP BY ALL), lv AS (SELECT series, avg(raw) AS level FROM ph GROUP BY series)
+SELECT w.series, hour, y, round(trend, 6) AS trend, round(raw - level, 6) AS seasonal, round(y - trend - (raw - level), 6) AS remainder FROM w JOIN ph ON ph.series = w.series AND phase = hour % 24 JOIN lv ON lv.series = w.series""")
 def seasonal_decomposition(spark, sf_dir):
     """Additive decomposition: centred moving average, hourly means of what is left, remainder."""
     return rounded(forecasting.decompose(hours(spark, sf_dir), 24))
@@ -83,19 +94,25 @@ def lsa_embed(spark, sf_dir):
     return learners.lsa(retrieval.tfidf(b, min_df=1), 8)
 
 
-@query()
+_SHIFTS = " ".join(f"WHEN '{name}' THEN {v[0]}" for name, v in synthetic.ATTACKS.items())
+
+
+@query(f"""WITH b AS (SELECT id, CASE WHEN id < 2000 THEN 'normal' {" ".join(f"WHEN id < {2000 + (k + 1) * 200} THEN '{name}'" for k, name in enumerate(synthetic.ATTACKS))} END AS scenario FROM range(2800) r(id)),
+f AS (SELECT scenario, exp(6 + 0.8 * ({_normal(42, 'common')}) + 0.4 * ({_normal(42, 'b')})) * CASE scenario {_SHIFTS} ELSE 1 END AS bytes_sent FROM b) SELECT scenario, count(*) AS n, sum((scenario <> 'normal')::INT)::BIGINT AS n_anomalies, round(avg(bytes_sent), 3) AS mean_bytes FROM f GROUP BY scenario""")
 def synth_flows(spark, sf_dir):
     """Seeded synthetic network flows, normal and four kinds of attack."""
     return synthetic.flows(spark, 2000, 200, seed=42).groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.sum("is_anomaly").alias("n_anomalies"), F.round(F.avg("bytes_sent"), 3).alias("mean_bytes"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT id, {_normal(7, 'x1')} AS x1, {_normal(7, 'x2')} AS x2 FROM range(2000) r(id)), s AS (SELECT *, ({_unit(7, 't')} < 1 / (1 + exp(-(0.8 * x1 - 0.5 * x2))))::INT AS t FROM b)
+SELECT t, count(*) AS n, round(avg(1 + x1 - 0.5 * x2 + 2.0 * t + {_normal(7, 'e')}), 4) AS mean_y, 2.0::DOUBLE AS mean_effect FROM s GROUP BY t""")
 def synth_scm(spark, sf_dir):
     """Seeded structural causal model with known individual effects."""
     return synthetic.structural(spark, "observed_confounding", 2000, seed=7).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("mean_y"), F.round(F.avg("ite"), 4).alias("mean_effect"))
 
 
-@query()
+@query(f"""WITH v AS (SELECT id % 3 AS cluster, [{", ".join(f"CASE WHEN id % 3 = {k % 3} THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END {'+' if k < 6 else '-'} 0.1 * ({_unit(5, k % 6)} - 0.5)" for k in range(12))}] AS v FROM range(300) r(id))
+SELECT cluster::INTEGER AS cluster, count(*) AS n, round(min(list_sum(v)), 6) AS least, round(max(list_sum(v)), 6) AS most FROM v GROUP BY cluster""")
 def synth_fuzzy(spark, sf_dir):
     """Seeded clusters of fuzzy sets of constant cardinality."""
     f = synthetic.fuzzy_clusters(spark, 300, seed=5, epsilon=0.1)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.text import hash_unit
+
 ATTACKS = {"exfiltration": (4.0, 1.0, 1.0), "scan": (0.2, 0.3, 6.0), "flood": (1.0, 0.2, 8.0), "beacon": (0.5, 3.0, 0.5)}
 EFFECTS = {"null": 0.0, "heterogeneous": 1.0}
 
 
 def _unit(seed: int, *parts) -> Column:
-    """Uniform on (0, 1) from a hash of seed, row and name."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), *[F.lit(p) for p in parts]), F.lit(1 << 53)) + 0.5) / F.lit(float(1 << 53))
+    """Uniform on (0, 1) from a hash of seed, row and name, the same in every engine that has SHA-256."""
+    return (hash_unit(F.lit(str(seed)), F.col("id").cast("string"), *[F.lit(str(p)) for p in parts]) + 0.5) / F.lit(float(1 << 32))
 
 
 def normal(seed: int, *parts) -> Column:
