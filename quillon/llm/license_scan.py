@@ -85,10 +85,12 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 
 def _segments(docs: DataFrame, doc_id: str, text: str, overlap: int) -> DataFrame:
     """doc, base (number of the first shingle), own (shingles up to the next segment) and part (they and the overlap)."""
-    whole = docs.select(F.col(doc_id).alias("doc"), _shingles(_words(F.col(text))).alias("shingles")).where(F.size("shingles") > 0)
-    bases = F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(SEGMENT))
-    cut = bind(F.col("shingles"), lambda h: F.transform(bases, lambda b: F.struct(b.alias("base"), F.least(F.lit(SEGMENT), F.size(h) - b).alias("own"), F.slice(h, b + 1, SEGMENT + overlap).alias("part"))))
-    return whole.select("doc", F.explode(cut).alias("s")).select("doc", "s.base", "s.own", "s.part")
+    def cut(h: Column) -> Column:
+        bases = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1, F.lit(SEGMENT)))
+        return F.transform(bases, lambda b: F.struct(b.alias("base"), F.least(F.lit(SEGMENT), F.size(h) - b).alias("own"), F.slice(h, b + 1, SEGMENT + overlap).alias("part")))
+
+    segments = bind(_shingles(_words(F.col(text))), cut)  # shingles are made once; null, and no row, where there are none
+    return docs.select(F.col(doc_id).alias("doc"), F.explode(segments).alias("s")).select("doc", "s.base", "s.own", "s.part")
 
 
 def _bands(size: int) -> Column:
@@ -107,15 +109,21 @@ def _window(size: int):
 
 def _hits(segments: DataFrame, keys: dict[int, list[int]]) -> DataFrame:
     """doc, size, start, window and bands of the windows that share a band with a template of their class; keys: bands of all templates of each class."""
+    known = {size: ", ".join(f"{x}L" for x in sorted(xs)) for size, xs in keys.items()}
     found, size, rows = [], LEAST_WINDOW, segments
+    if small := [known[size] for size in known if size <= BANDS]:  # these windows are their own signatures: a shingle's bands are probed once for all windows that hold it
+        of = ", ".join(small)
+        rows = rows.withColumn("spots", F.expr(f"CASE WHEN exists(part, x -> x IN ({of})) THEN filter(sequence(0, size(part) - 1), i -> part[i] IN ({of})) ELSE cast(array() AS array<int>) END"))
     while size <= max(keys):
-        if size > BANDS:  # smaller windows are their own signatures
+        step = size // 4
+        if size > BANDS:
             rows = rows.withColumn(f"bands_{size}", _bands(size))
+            near = f"filter(sequence(0, cast(floor((own - 1) / {step}) AS int)), k -> exists(bands_{size}[k], x -> x IN ({known.get(size)})))"
+        else:
+            held = f"transform(filter(spots, i -> part[i] IN ({known.get(size)})), i -> sequence(cast(greatest(0, ceil((i - {size - 1}) / {step})) AS int), cast(floor(i / {step}) AS int)))"
+            near = f"filter(array_distinct(flatten({held})), k -> k * {step} < own)"
         if size in keys:
-            known = ", ".join(f"{x}L" for x in sorted(keys[size]))
-            step, own = size // 4, f"bands_{size}[k]" if size > BANDS else f"slice(part, k * {size // 4} + 1, {size})"
-            near = F.expr(f"filter(sequence(0, cast(floor((own - 1) / {step}) AS int)), k -> exists({own}, x -> x IN ({known})))")
-            found.append(F.transform(near, _window(size)))
+            found.append(F.transform(F.expr(near), _window(size)))
         size *= 2
     return rows.select("doc", F.explode(F.concat(*found)).alias("w")).select("doc", "w.*").withColumn("bands", _least(F.col("window")))
 
