@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.io import written
+
 #: Characters that separate words everywhere in this subpackage.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -31,6 +33,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts the lineage, gives the planner its size, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
+    written.append(path)  # quillon.io.drop_stages removes it
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,17 +47,3 @@ def words_of(text: Column) -> Column:
     """Words of a text as an array; null, empty and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS))
-
-
-def literal_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
-    """A small table of constants, made by the planner itself."""
-    if not rows:
-        return spark.createDataFrame([], ", ".join(f"{name} {kind}" for name, kind in columns.items()))
-
-    def lit(value, kind):
-        if isinstance(value, (list, tuple)):
-            return F.array(*[F.lit(v) for v in value]).cast(kind)
-        return F.lit(value).cast(kind)
-
-    structs = [F.struct(*[lit(v, kind).alias(name) for v, (name, kind) in zip(row, columns.items(), strict=True)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -32,7 +32,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import literal_table, staged
+from quillon.llm.common import staged
 
 SHARDS = 8
 VNODES = 128
@@ -139,7 +139,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shards: i
     inner = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in at.items()])
     celled = _spread(_hashed(inner, at[key], at[text]), n_shards, slack)
     arcs = ring(celled, n_shards, vnodes, slack)
-    table = _arc_table(spark, arcs) if arcs else literal_table(spark, [], {"_cell": "int", "_from": "int", "_to": "int", "_shard": "int"})
+    table = _arc_table(spark, arcs) if arcs else spark.createDataFrame([], "_cell int, _from int, _to int, _shard int")
     placed = celled.join(F.broadcast(table), "_cell").where(F.col("_fine").between(F.col("_from"), F.col("_to")))
     counts = placed.groupBy("_shard", "_cell").agg(F.count(F.lit(1)).alias("n")).collect()  # at most CELLS rows and the cuts
     offsets, run = [], {}
