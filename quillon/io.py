@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stage tables that this process has written; results may read from them until ``drop_stages``.
+written: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Removes the stage tables written so far, once the results that read from them are written; gives their number. Without it they last until the shared folder is cleaned."""
+    conf, n = spark._jsc.hadoopConfiguration(), len(written)
+    while written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read from there."""
     _shared(df.sparkSession)
@@ -22,6 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The same as a table, whose size the planner knows: it broadcasts a small one and shuffles to a large one."""
     path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.io import checkpointed
 
 
+def from_mapping(spark: SparkSession, data: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
+    """Variables (name, role, observed, time_order) and edges (src, dst) of {"variables": [...], "edges": [[src, dst], ...]}; repeated names, unknown ends, loops and cycles are refused."""
+    if set(data) != {"variables", "edges"}:
+        raise ValueError("a graph has variables and edges")
+    rows = [(str(v["name"]), str(v.get("role", "covariate")), bool(v.get("observed", True)), int(v.get("time_order", 0))) for v in data["variables"]]
+    names, pairs = {r[0] for r in rows}, [(str(a), str(b)) for a, b in data["edges"]]
+    if len(names) != len(rows):
+        raise ValueError("repeated variable")
+    if unknown := {x for e in pairs for x in e} - names:
+        raise ValueError(f"unknown variables {sorted(unknown)}")
+    into, todo = {n: {a for a, b in pairs if b == n} for n in names}, names  # take away what nothing leads to, again and again
+    while free := {n for n in todo if not into[n] & todo}:
+        todo = todo - free
+    if todo:
+        raise ValueError(f"a cycle among {sorted(todo)}")
+    return spark.createDataFrame(rows, "name string, role string, observed boolean, time_order int"), spark.createDataFrame(sorted(set(pairs)), "src string, dst string")
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """src, dst and the least number of steps, of all pairs, however far apart.
 

@@ -76,14 +76,50 @@ def best_f1(points: DataFrame, score: str = "score") -> DataFrame:
     return points.agg(best).select(F.col(f"best.{score}").alias("threshold"), "best.precision", "best.recall", "best.f1")
 
 
-def average_ranks(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+def _bucketed(df: DataFrame, value: str, keys: list[str], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct values of each group with their counts (_c), bucket, and the group's n; and how many rows lie before each bucket. No task sees more of a group than a bucket's distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ends = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("n"))
+    both = counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))  # one row
+    at = F.coalesce(F.try_divide((F.col(value) - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")), F.lit(0.0))
+    placed = both.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(at * buckets)).cast("int")).drop("_lo", "_hi")
+    up_to = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*keys, "_bucket", "n").agg(F.sum("_c").alias("_in"))  # at most ``buckets`` rows a group
+    return placed, sums.withColumn("_before", F.sum("_in").over(up_to) - F.col("_in"))
+
+
+def average_ranks(df: DataFrame, value: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Adds the mean rank of equal values, from 1, in each group."""
-    w, tie = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
-    return df.withColumn(f"rank_{value}", F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2)
+    placed, sums = _bucketed(df, value, keys, buckets)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(sums.drop("n", "_in"), [*keys, "_bucket"]).withColumn(f"rank_{value}", F.col("_before") + F.sum("_c").over(inside) - (F.col("_c") - 1) / 2)
+    return df.join(ranked.select(*keys, value, f"rank_{value}"), [*keys, value])
+
+
+def order_statistic(df: DataFrame, value: str, keys: list[str], rank: Column, buckets: int = BUCKETS) -> DataFrame:
+    """keys, n and value: of each group's n values the one of that rank (from 1, a column over n); null where there are fewer."""
+    placed, sums = _bucketed(df, value, keys, buckets)
+    target = sums.withColumn("_rank", rank).where((F.col("_before") < F.col("_rank")) & (F.col("_before") + F.col("_in") >= F.col("_rank")))
+    few = placed.drop("n").join(target.select(*keys, "_bucket", "_before", "_rank"), [*keys, "_bucket"])
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = few.withColumn("_run", F.col("_before") + F.sum("_c").over(inside)).where(F.col("_run") >= F.col("_rank")).groupBy(*keys).agg(F.min(value).alias(value))
+    groups = sums.select(*keys, "n").distinct()
+    return groups.join(found, keys, "left") if keys else groups.crossJoin(found)  # one row each
+
+
+def quantile(df: DataFrame, value: str, keys: list[str], q: float, name: str = "quantile") -> DataFrame:
+    """keys and the quantile, linear between the two values next to it; exact."""
+    place = F.lit(float(q)) * (F.col("n") - 1)
+    low = order_statistic(df, value, keys, F.floor(place) + 1).withColumnRenamed(value, "_low")
+    high = order_statistic(df, value, keys, F.ceil(place) + 1).drop("n").withColumnRenamed(value, "_high")
+    both = low.join(high, keys) if keys else low.crossJoin(high)  # one row each
+    part = place - F.floor(place)
+    return both.select(*keys, (F.col("_low") * (1 - part) + F.col("_high") * part).alias(name))
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Rank correlation of each group; null below three rows or if a side is constant."""
+    df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = average_ranks(average_ranks(df, a, keys), b, keys)
     rho = F.when((F.count(F.lit(1)) >= 3) & (F.min(a) != F.max(a)) & (F.min(b) != F.max(b)), F.corr(f"rank_{a}", f"rank_{b}"))
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rho.alias("spearman"))

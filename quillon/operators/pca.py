@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import metrics
+
 
 @dataclass
 class Model:
@@ -60,7 +62,7 @@ def fit(normal: DataFrame, columns: list[str], share: float) -> Model:
 
 def detect(model: Model, rows: DataFrame, normal: DataFrame, keep: list[str], quantile: float) -> DataFrame:
     """error and is_anomaly (strictly above the quantile of normal rows' errors)."""
-    threshold = normal.select(model.error().alias("e")).agg(F.percentile("e", F.lit(quantile))).first()[0]
+    threshold = metrics.quantile(normal.select(model.error().alias("e")), "e", [], quantile).first()[0]
     return rows.select(*keep, model.error().alias("error")).withColumn("is_anomaly", F.col("error") > float(threshold))
 
 

@@ -139,10 +139,8 @@ def _residuals(spark, sf_dir):
 
 def conformal_quantile(df: DataFrame, keys: list[str], value: str, alpha: float) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest value of each group, infinity if there are fewer."""
-    n = df.groupBy(*keys).agg(F.count(value).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    placed = df.withColumn("k", F.row_number().over(w)).join(F.broadcast(n) if not keys else n, keys)
-    return placed.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("k") == F.ceil((F.col("n") + 1) * F.lit(1 - alpha)), F.col(value))), F.lit(float("inf"))).alias("radius"), F.min("n").alias("n"))
+    found = metrics.order_statistic(df, value, keys, F.ceil((F.col("n") + 1) * F.lit(1 - alpha)))
+    return found.select(*keys, F.coalesce(value, F.lit(float("inf"))).alias("radius"), "n")
 
 
 @query(f"WITH {_RESIDUALS}, c AS (SELECT stratum, residual, row_number() OVER (PARTITION BY stratum ORDER BY residual) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM res WHERE calibrating), q AS (SELECT stratum, min(residual) FILTER (k = ceil((n + 1) * 0.9::DOUBLE)) AS radius, min(n) AS n FROM c GROUP BY stratum) SELECT q.stratum, q.n, round(radius, 6) AS radius, round(avg((residual <= radius)::INT), 6) AS coverage FROM q JOIN res USING (stratum) WHERE NOT calibrating GROUP BY ALL")
@@ -158,7 +156,7 @@ def conformal_radius(spark, sf_dir):
 def conformal_norm(spark, sf_dir):
     """Conformal half widths normalised by a spread with a floor."""
     r = _residuals(spark, sf_dir)
-    floor = r.where("calibrating").groupBy("stratum").agg(F.greatest(F.percentile("spread", F.lit(0.1)), F.lit(1e-12)).alias("floor"))
+    floor = metrics.quantile(r.where("calibrating"), "spread", ["stratum"], 0.1, "floor").withColumn("floor", F.greatest("floor", F.lit(1e-12)))
     base = r.join(F.broadcast(floor), "stratum").withColumn("width", F.greatest("spread", "floor")).withColumn("s", F.col("residual") / F.col("width"))
     q = conformal_quantile(base.where("calibrating"), ["stratum"], "s", 0.1).select("stratum", F.col("radius").alias("q"))
     t = base.where("not calibrating").join(F.broadcast(q), "stratum").withColumn("half", F.col("q") * F.col("width"))
@@ -169,7 +167,7 @@ def conformal_norm(spark, sf_dir):
 def strata_coverage(spark, sf_dir):
     """Coverage by tercile of spread, hidden where there are few rows."""
     r = _residuals(spark, sf_dir)
-    q = r.agg(F.percentile("spread", F.lit(1 / 3)).alias("a"), F.percentile("spread", F.lit(2 / 3)).alias("b"))
+    q = metrics.quantile(r, "spread", [], 1 / 3, "a").crossJoin(metrics.quantile(r, "spread", [], 2 / 3, "b"))  # one row each
     t = r.crossJoin(F.broadcast(q)).withColumn("tercile", F.when(F.col("spread") <= F.col("a"), "low").when(F.col("spread") > F.col("b"), "high").otherwise("middle"))  # one row
     return rounded(t.groupBy("tercile").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 20, F.avg((F.col("residual") <= 40000).cast("int"))).alias("coverage")))
 

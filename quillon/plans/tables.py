@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.io import table
+from quillon.io import staged, table
 from quillon.operators import checks
 from quillon.plans.registry import query, rounded
 
@@ -186,10 +186,11 @@ def rubric_gate(spark, sf_dir):
 def lexical_rank(spark, sf_dir):
     """For each query (ids divisible by 50) the twenty documents that hold most of its terms as substrings."""
     terms = F.filter(F.array_distinct(tx.tokens(F.col("text"))), lambda x: F.length(x) > 2)
-    asked = [(r["item_id"], r["t"]) for r in table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", terms.alias("t")).collect()]  # a stated query set
-    docs, lower = table(spark, sf_dir, "documents"), F.lower("text")
-    found = [F.struct(F.lit(i).cast("long").alias("item_id"), F.size(F.filter(F.array(*map(F.lit, t)).cast("array<string>"), lambda x: F.contains(lower, x))).cast("long").alias("hits")) for i, t in asked]
-    s = docs.select("doc_id", F.inline(F.array(*found))).where("hits > 0")
+    asked = staged(table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", F.explode(terms).alias("term")), "query-terms")
+    known = asked.agg(F.collect_set("term").alias("terms"))  # the distinct terms of a stated query set, in one row
+    held = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("small")).crossJoin(F.broadcast(known))  # each term is looked for once in a text
+    met = held.select("doc_id", F.explode(F.filter("terms", lambda t: F.contains("small", t))).alias("term")).join(F.broadcast(asked), "term")
+    s = met.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
     w = Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("item_id", "doc_id", "hits", "rank")
 

@@ -126,10 +126,15 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- sinks ----
 
+ONE_FILE = 1_000_000
+
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One file in a declared order (for reports: the table must be small)."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """In a declared order: one file for up to ONE_FILE rows, else files whose names follow the order."""
+    rows = df.orderBy(*order)
+    if df.limit(ONE_FILE + 1).count() <= ONE_FILE:
+        rows = rows.coalesce(1)
+    rows.write.mode("overwrite").csv(path, header=True)
 
 
 def report(df: DataFrame) -> DataFrame:
