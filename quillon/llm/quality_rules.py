@@ -196,9 +196,12 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     at = {c: f"c{i}" for i, c in enumerate(names)}
     body = at[text]
     if over.count() <= MAX_SENT:
-        good = base_columns(_with_lines(inner.withColumn("host_key", _host_key(at[host])), over, body), body).where(~F.col("base_failed"))
-        kept = good.withColumn("n_removed", _removed(body)).where(~_depleted(min_kept_share))
+        found = base_columns(_with_lines(inner.withColumn("host_key", _host_key(at[host])), over, body), body)
         rest = _in_lines(body, lambda lines, gone: F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"), F.col(body))
+        judged = F.struct("n_words", "base_failed", _removed(body).alias("n_removed"), rest.alias("rest"))
+        once = found.select(*[F.col(c) for c in at.values() if c != body], F.explode(F.array(judged)).alias("judged"))  # a filter on generated columns isn't pushed below them, so nothing is computed twice
+        kept = once.select("*", "judged.*").where(~F.col("base_failed") & ~_depleted(min_kept_share))
+        rest = F.col("rest")
     else:
         lost = staged(removed_lines(docs, doc_id, text, host, over), "removed-lines")
         good = base_columns(inner, body).where(~F.col("base_failed"))
