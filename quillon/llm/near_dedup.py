@@ -37,6 +37,7 @@ text at a time and gives its memory back at the end of a task. Stage tables are
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from dataclasses import dataclass
 
@@ -65,6 +66,7 @@ LONG_SAMPLES = 192
 LONG_EQUAL = 132
 LARGE = 1_000
 TEXT_BLOCK = 50
+BATCH = 1_000
 MAX_LARGE = 20_000
 ID_BUCKETS = 1 << 20
 
@@ -513,16 +515,30 @@ def class_links(asked: DataFrame, classes: DataFrame, signed: DataFrame, weights
 # ---- the operator ----
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH rows while tables with texts are made here: a batch lies in memory twice, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str, idf_share: float) -> DataFrame:
     """A row for each document that has a text: doc, key1, key2, class_id, kept, n_links."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    weights = spark.sparkContext.broadcast(document_weights(texts, idf_share))  # common shingles, and a bit for each counter
-    signed = staged(signatures(texts, weights), "signatures")
+    with _small_batches(spark):
+        weights = spark.sparkContext.broadcast(document_weights(texts, idf_share))  # common shingles, and a bit for each counter
+        signed = staged(signatures(texts, weights), "signatures")
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "key1", "key2", "row")  # ids before null
     distinct = signed.groupBy("key1", "key2").agg(F.min(order).alias("first"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("size"))
     nodes = staged(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels, links = _classes(nodes, texts, weights)
+    with _small_batches(spark):
+        labels, links = _classes(nodes, texts, weights)
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.join(labels, "node", "left").join(degrees, "node", "left")
