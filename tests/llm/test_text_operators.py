@@ -376,6 +376,66 @@ def test_many_rules_against_running_each(spark, monkeypatch, broadcast):
 # ---- 8 classifier ----
 
 
+def fit_by_loops(x, positive, hidden, prior, steps, seed=7):
+    """Non-negative positive-unlabelled learning, sample by sample: the gradient of p E_pos[l(f)] + E_unl[l(-f)] - p E_pos[l(-f)], and against the last two terms where they are negative."""
+    n_in, n_hid = len(x[0]), classifier.HIDDEN
+    rows_u, rows_p = [i for i, h in enumerate(hidden) if h], [i for i, h in enumerate(positive) if h]
+    mean = [sum(x[i][k] for i in rows_u) / len(rows_u) for k in range(n_in)]
+    scale = [math.sqrt(sum((x[i][k] - mean[k]) ** 2 for i in rows_u) / len(rows_u)) + 1e-9 for k in range(n_in)]
+    z = [[max(-8, min(8, (v - m) / s)) for v, m, s in zip(row, mean, scale)] for row in x]
+    rng = np.random.default_rng(seed)
+    w1, w2 = rng.normal(0, 0.3, (n_in, n_hid)).tolist(), None
+    b1, w2, b2 = [0.0] * n_hid, rng.normal(0, 0.3, n_hid).tolist(), 0.0
+    flat = lambda: [v for r in w1 for v in r] + b1 + w2 + [b2]
+    first, second = [0.0] * len(flat()), [0.0] * len(flat())
+    soft = lambda v: math.log1p(math.exp(-abs(v))) + max(v, 0)
+
+    def forward(row):
+        h = [math.tanh(sum(row[k] * w1[k][j] for k in range(n_in)) + b1[j]) for j in range(n_hid)]
+        return sum(h[j] * w2[j] for j in range(n_hid)) + b2, h
+
+    for step in range(1, steps + 1):
+        out = [forward(row) for row in z]
+        negative = sum(soft(out[i][0]) for i in rows_u) / len(rows_u) - prior * sum(soft(out[i][0]) for i in rows_p) / len(rows_p)
+        grad = [0.0] * len(z)
+        for i in range(len(z)):
+            s = 1 / (1 + math.exp(-out[i][0]))
+            part = (s / len(rows_u) if hidden[i] else 0) - (prior * s / len(rows_p) if positive[i] else 0)
+            grad[i] = part + (prior * (s - 1) / len(rows_p) if positive[i] else 0) if negative >= 0 else -part
+        g1 = [[sum(z[i][k] * grad[i] * w2[j] * (1 - out[i][1][j] ** 2) for i in range(len(z))) + 1e-4 * w1[k][j] for j in range(n_hid)] for k in range(n_in)]
+        gb = [sum(grad[i] * w2[j] * (1 - out[i][1][j] ** 2) for i in range(len(z))) for j in range(n_hid)]
+        g2 = [sum(out[i][1][j] * grad[i] for i in range(len(z))) + 1e-4 * w2[j] for j in range(n_hid)]
+        g, now = [v for r in g1 for v in r] + gb + g2 + [sum(grad)], flat()
+        rate = 0.02 * (0.1 + 0.9 * (1 - step / steps))
+        for k, v in enumerate(g):
+            first[k], second[k] = 0.9 * first[k] + 0.1 * v, 0.99 * second[k] + 0.01 * v * v
+            now[k] -= rate * (first[k] / (1 - 0.9**step)) / (math.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
+        w1 = [now[k * n_hid : (k + 1) * n_hid] for k in range(n_in)]
+        b1, w2, b2 = now[n_in * n_hid : (n_in + 1) * n_hid], now[(n_in + 1) * n_hid : (n_in + 2) * n_hid], now[-1]
+    return [1 / (1 + math.exp(-forward(row)[0])) for row in z]
+
+
+@pytest.mark.parametrize("prior", [0.4, 0.95])
+def test_fit_follows_the_non_negative_risk(prior):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(1, 1, (15, 3)), rng.normal(-1, 1, (15, 3))])
+    positive, hidden = np.arange(30) < 8, np.arange(30) >= 5  # some rows are both
+    own = classifier.fit(x, positive, hidden, prior, steps=12).scores(x)
+    assert own.tolist() == pytest.approx(fit_by_loops(x.tolist(), positive.tolist(), hidden.tolist(), prior, 12), abs=1e-9)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_the_prior_is_estimated_without_negative_labels(share):
+    rng = np.random.default_rng(int(10 * share))
+    good, mixed = rng.normal(2, 1, (2500, 3)), rng.random(2500) < share
+    unlabelled = np.where(mixed[:, None], rng.normal(2, 1, (2500, 3)), rng.normal(-2, 1, (2500, 3)))
+    x, positive = np.concatenate([good, unlabelled]), np.arange(5000) < 2500
+    found = classifier.class_prior(x, positive, ~positive, rng.random(5000) < 0.5)
+    assert abs(found - mixed.mean()) < 0.08
+    scorer = classifier.fit(x, positive, ~positive, found)
+    assert ((scorer.scores(unlabelled) >= 0.5) == mixed).mean() > 0.97
+
+
 @needs_data
 def test_classifier_on_held_out_rows(spark):
     path = SF.replace("0.001", "0.01")
