@@ -15,7 +15,7 @@ Assumed, as by the method: the positives are drawn from all good texts alike. Go
 Held-out rows are those with crc32(doc_id as text) mod 4 = 2; their labels are never read, and they are in no sample.
 
 Defined cases: null and empty texts are scored as texts without words; null ids are scored and not held out; repeated
-rows and labels do no harm; without positives of learnable folds every text scores 0.5; other columns are ignored.
+rows and labels do no harm; a long text's counts are added up over pieces, so it takes no more memory than others; without positives of learnable folds every text scores 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.text_arrays import PIECE, Words, lengths, releasing, slices
+from quillon.llm.text_arrays import PIECE, Words, buffers, lengths, pieces, releasing, slices
 
 MAX_FIT = 20_000
 THRESHOLD = 0.7
 FOLDS, HELD = 4, 2
-N_FEATURES = 21
+N_FEATURES, N_SUMS = 21, 19
 HIDDEN = 12
 STEPS = 400
 PRIOR_STEPS = 200
@@ -47,18 +47,23 @@ _KINDS[10, 7] = True  # line feeds
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """A row of N_FEATURES numbers for each text."""
-    w = Words(column)
+    """A row of N_FEATURES numbers for each text; a single long text goes through in pieces."""
+    if len(column) == 1 and lengths(column)[0] > 2 * PIECE:
+        return _shares(_long_sums(buffers(column)[0])[None, :])
+    return _shares(_sums(Words(column)))
+
+
+def _sums(w: Words) -> np.ndarray:
+    """For each text: bytes of each kind, bytes, words, words that are marked, bare, repeated at once, short, long, very long, their lengths and squares, and distinct words."""
     size, n = np.diff(w.texts), np.diff(w.first)
-    texts = np.arange(len(size))
 
     def per_text(values, at):  # sums over each text's share of values
         sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
         return sums[at[1:]] - sums[at[:-1]]
 
-    kinds = np.stack([per_text(_KINDS[w.raw, k], w.texts) for k in range(8)], 1) / np.maximum(size, 1)[:, None]
+    kinds = [per_text(_KINDS[w.raw, k], w.texts) for k in range(8)]
     length = w.end - w.begin
-    owner = np.repeat(texts, n)
+    owner = np.repeat(np.arange(len(size)), n)
     marks = np.concatenate([[0], np.cumsum(_KINDS[w.raw, 5])])
     letters = np.concatenate([[0], np.cumsum(_KINDS[w.raw, 0] | _KINDS[w.raw, 1])])
     marked = (marks[w.end] - marks[w.begin]) > 0
@@ -70,13 +75,30 @@ def features(column: pa.Array) -> np.ndarray:
     fresh = np.ones(len(length), bool)
     if len(length) > 1:
         fresh[1:] = (w.hash[order][1:] != w.hash[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    many = np.maximum(n, 1)
     distinct = np.bincount(owner[order][fresh], minlength=len(n)) if len(length) else np.zeros(len(n))
-    shares = [per_text(x, w.first) / many for x in (marked, bare, again, length <= 3, length >= 10, length >= 25)]
-    lengths = per_text(length, w.first) / many
-    spread = np.sqrt(np.maximum(per_text(length.astype(float) ** 2, w.first) / many - lengths**2, 0))
-    more = [np.log1p(n), np.log1p(size), lengths, spread, distinct / many, np.log1p(distinct) / np.log1p(many), 1.0 * (n < 10)]
-    return np.column_stack([kinds, *shares, *more])
+    words = [per_text(x, w.first) for x in (marked, bare, again, length <= 3, length >= 10, length >= 25, length, length.astype(float) ** 2)]
+    return np.column_stack([*kinds, size, n, *words, distinct]).astype(np.float64)
+
+
+def _long_sums(raw: np.ndarray) -> np.ndarray:
+    total, seen, last = np.zeros(N_SUMS), [], None
+    for w in pieces(raw):
+        total += _sums(w)[0]
+        if len(w.hash):
+            total[12] += last is not None and w.hash[0] == last  # a word repeated across the cut
+            last = w.hash[-1]
+            seen.append(np.unique(w.hash))
+    total[N_SUMS - 1] = len(np.unique(np.concatenate(seen))) if seen else 0
+    return total
+
+
+def _shares(s: np.ndarray) -> np.ndarray:
+    size, n, distinct = s[:, 8], s[:, 9], s[:, N_SUMS - 1]
+    many = np.maximum(n, 1)
+    kinds, shares = s[:, :8] / np.maximum(size, 1)[:, None], s[:, 10:16] / many[:, None]
+    mean = s[:, 16] / many
+    spread = np.sqrt(np.maximum(s[:, 17] / many - mean**2, 0))
+    return np.column_stack([kinds, shares, np.log1p(n), np.log1p(size), mean, spread, distinct / many, np.log1p(distinct) / np.log1p(many), 1.0 * (n < 10)])
 
 
 class Scorer:

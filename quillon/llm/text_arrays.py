@@ -131,13 +131,27 @@ def text_windows(column: pa.Array, size: int):
             yield hashes[at[t] : at[t + 1]]
 
 
+def pieces(raw: np.ndarray):
+    """Words of a long text, some PIECE bytes at a time, cut where a word ends."""
+    begin = 0
+    while begin < len(raw):
+        end = _word_end(raw, min(begin + PIECE, len(raw)))
+        yield Words(None, raw[begin:end])
+        begin = end
+
+
+def _word_end(raw: np.ndarray, at: int) -> int:
+    """The next place from ``at`` on that is no part of a word."""
+    while at < len(raw) and not _SPACE[raw[at]]:
+        spaces = np.flatnonzero(_SPACE[raw[at : at + PIECE]])
+        at = at + int(spaces[0]) if len(spaces) else min(at + PIECE, len(raw))
+    return at
+
+
 def _pieced(raw: np.ndarray, size: int) -> np.ndarray:
     found, begin, least = [], 0, PIECE
     while True:
-        end = min(begin + least, len(raw))
-        while end < len(raw) and not _SPACE[raw[end]]:  # a piece ends where a word does
-            spaces = np.flatnonzero(_SPACE[raw[end : end + PIECE]])
-            end = end + int(spaces[0]) if len(spaces) else min(end + PIECE, len(raw))
+        end = _word_end(raw, min(begin + least, len(raw)))
         words = Words(None, raw[begin:end])
         n = len(words.begin)
         if n < size and end < len(raw):

@@ -10,7 +10,7 @@ import pytest
 from cases import edited, odd_docs, odd_texts, prose
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_topk, near_dedup, packing, text_arrays
+from quillon.llm import classifier, exact_topk, near_dedup, packing, text_arrays
 from quillon.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -229,6 +229,14 @@ def test_long_texts_go_through_in_pieces(monkeypatch):
     assert [len(h) for h in whole] == [2996, 896, 1, 1, 1, 0, 0]
 
 
+def test_features_of_long_texts_add_up_over_pieces(monkeypatch):
+    texts = [prose(91, 3000) + " again" * 500, "# |" * 3000, "y" * 9000 + " a a a\n" + "z" * 9000, ""]
+    whole = [classifier.features(pa.array([t])) for t in texts]
+    monkeypatch.setattr(classifier, "PIECE", 512)
+    monkeypatch.setattr(text_arrays, "PIECE", 512)
+    assert all(np.allclose(classifier.features(pa.array([t])), f) for t, f in zip(texts, whole, strict=True))
+
+
 def test_large_keys_join_like_any_other(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LARGE", 3)
     monkeypatch.setattr(near_dedup, "TEXT_BLOCK", 3)
