@@ -29,7 +29,7 @@ with unlike texts are in classes of their own texts; other columns are ignored;
 
 Scale: map-only passes over the text give the frequencies (a table of fixed size) and the signatures (about 200
 bytes a document); later steps work on these. Texts are shuffled for candidate documents alone. Rows of keys that
-more than a thousand rows share (large buckets, texts with many copies, pivots of many) aren't brought together: what
+more than 200 rows share (large buckets, texts with many copies, pivots of many) aren't brought together: what
 they are joined with is broadcast, for at most ``MAX_LARGE`` keys, or dealt to blocks of them. The labels' spreading along
 links joins narrow rows, which adaptive execution splits where one node has very many. Python holds one piece of
 text at a time and gives its memory back at the end of a task. Stage tables are written to the shared folder.
@@ -60,11 +60,11 @@ SKETCH_BITS = 18
 SKETCH = 1 << SKETCH_BITS
 CHUNKS = 1024
 SALT = 128
-BUCKET_TILE = 1000
+BUCKET_TILE = 500
 TILE = 200
 LONG_SAMPLES = 192
 LONG_EQUAL = 132
-LARGE = 1_000
+LARGE = 200
 TEXT_BLOCK = 50
 BATCH = 1_000
 MAX_LARGE = 20_000
