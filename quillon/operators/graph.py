@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.io import checkpointed
@@ -72,3 +72,19 @@ def components(edges: DataFrame) -> DataFrame:
         if not moved.where("label != old").limit(1).count():
             return moved.select("node", "label")
         labels = moved.select("node", "label")
+
+
+def periodic_neighbours(sites: DataFrame, cutoff: float, most: int, images: int = 1) -> DataFrame:
+    """crystal, src, dst, image (i, j, k) and dist of the nearest ``most`` sites within a cutoff of each site, over the periodic images up to ``images`` cells away; ties by site and image.
+
+    sites: crystal, site, cell (three lattice vectors) and frac (coordinates in them). A crystal is a small group; its sites meet each other only.
+    """
+    steps = F.sequence(F.lit(-images), F.lit(images))
+    a = sites.select("crystal", F.col("site").alias("src"), "cell", F.col("frac").alias("f"))
+    b = sites.select("crystal", F.col("site").alias("dst"), F.col("frac").alias("g"))
+    met = a.join(b, "crystal").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumn("k", F.explode(steps))
+    move = F.array(*[F.col("g")[n] + F.col(c) - F.col("f")[n] for n, c in enumerate("ijk")])
+    square = sum(((sum((F.col("m")[v] * F.col("cell")[v][n] for v in range(3)), F.lit(0.0))) * (sum((F.col("m")[v] * F.col("cell")[v][n] for v in range(3)), F.lit(0.0))) for n in range(3)), F.lit(0.0))
+    near = met.withColumn("m", move).withColumn("dist", F.sqrt(square)).where((F.col("dist") <= cutoff) & ~((F.col("src") == F.col("dst")) & (F.abs("i") + F.abs("j") + F.abs("k") == 0)))
+    w = Window.partitionBy("crystal", "src").orderBy(F.round("dist", 6), "dst", "i", "j", "k")
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("crystal", "src", "dst", "i", "j", "k", "dist")

@@ -33,3 +33,12 @@ def strict_score(doc: Column, gold_doc: Column, stance: Column, gold_stance: Col
     """1 if document and stance are right and all gold sentences are among the first ``most`` called, else 0."""
     whole = F.size(F.array_except(gold, F.slice(called, 1, most))) == 0
     return ((doc == gold_doc) & (stance == gold_stance) & whole).cast("int")
+
+
+def relation_terms(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """claim, term, claim_weight, evidence_weight, product and gap for each term of either side; pairs: claim, evidence; weights: doc_id, term, weight."""
+    left = pairs.join(weights.select(F.col("doc_id").alias("claim"), "term", F.col("weight").alias("claim_weight")), "claim").select("claim", "term", "claim_weight")
+    right = pairs.join(weights.select(F.col("doc_id").alias("evidence"), "term", F.col("weight").alias("evidence_weight")), "evidence").select("claim", "term", "evidence_weight")
+    both = left.join(right, ["claim", "term"], "full_outer").na.fill(0.0, ["claim_weight", "evidence_weight"])
+    c, e = F.col("claim_weight"), F.col("evidence_weight")
+    return both.withColumns({"product": c * e, "gap": F.abs(c - e)})
