@@ -155,5 +155,6 @@ def nested_knn(spark, sf_dir):
 
 @query()
 def model_introspection(spark, sf_dir):
-    """Importances of a forest's columns, greatest first, ties by name."""
-    return spark.createDataFrame(learners.forest_importances(frame(spark, sf_dir), ["x1", "x2", "y"], "t"), "feature string, importance double")
+    """Coefficients, importances and tree depths of fitted models."""
+    rows = learners.introspection(frame(spark, sf_dir), ["x1", "x2", "y"], "t")
+    return rounded(spark.createDataFrame(rows, "model string, quantity string, value double"))

@@ -10,8 +10,17 @@ from pyspark.sql import types as T
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | str, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """A CSV file under a contract: the header's names and order are checked, and a value that doesn't parse fails the read."""
-    return spark.read.csv(path, schema=schema, header=header, encoding=encoding, mode="FAILFAST", enforceSchema=False)
+    """A CSV file under a contract: the header's names and order are checked, and a value that doesn't parse fails the read.
+
+    windows-1252, which Spark doesn't read, is read as ISO-8859-1, from which it differs in 32 code points that are translated.
+    """
+    western = encoding.lower() in ("windows-1252", "cp1252")
+    df = spark.read.csv(path, schema=schema, header=header, encoding="ISO-8859-1" if western else encoding, mode="FAILFAST", enforceSchema=False)
+    if not western:
+        return df
+    known = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+    plain = lambda c: F.translate(c, "".join(known), "".join(known.values())).alias(c)
+    return df.select(*[plain(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def series_csv(spark: SparkSession, path: str, date: str, hour: str, value: str, date_format: str = "dd/MM/yyyy", encoding: str = "ISO-8859-1") -> DataFrame:
@@ -91,6 +100,27 @@ def replication(arrays: dict, k: int) -> list[tuple]:
     return out
 
 
+def npz_replication(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """row and a column for each array (or array column) of replication k of a NumPy archive that the driver can open; pickled objects are refused."""
+    import numpy as np
+
+    with np.load(path, allow_pickle=False) as archive:
+        flat = replication({name: archive[name] for name in archive.files}, k)
+    if len({len(v) for _, v in flat}) != 1:
+        raise ValueError("arrays of different lengths")
+    columns = [[float(x) for x in v] for _, v in flat]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*columns, strict=True))], "row int, " + ", ".join(f"`{n}` double" for n, _ in flat))
+
+
+def bundle(spark: SparkSession, folder: str, parts: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
+    """The CSV files of a bundle: name -> (schema, encoding) gives name -> table. A file that is absent is refused before any is read."""
+    conf, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    paths = {name: f"{folder}/{name}.csv" for name in parts}
+    if missing := [n for n, p in paths.items() if not Path(p).getFileSystem(conf).exists(Path(p))]:
+        raise ValueError(f"missing files {missing}")
+    return {name: csv(spark, paths[name], schema, encoding) for name, (schema, encoding) in parts.items()}
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, title, abstract (sentences) and the searchable text; ids must be unique."""
     from quillon.operators.checks import require

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import workflows
-from quillon.operators import forecasting, graph, metrics, pairs, pca, splits, studies
+from quillon.functions.text import hash_unit
+from quillon.operators import effects, forecasting, graph, learners, metrics, pairs, pca, splits, studies
 from quillon.sources import config, files
 
 
@@ -162,6 +163,119 @@ def test_pca_equals_numpy(spark):
     assert all(ok for _, ok in pca.checks(pca.fit(df, ["a", "b", "c"], 1.0), df.limit(50)))
 
 
+@pytest.mark.parametrize("kind", sorted(learners.CANDIDATES))
+def test_learners_find_what_is_there(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.5 * rng.normal(size=600) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(t), i // 10) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, y int, g int")
+    for group in (None, "g"):
+        found = learners.held_out_scores(df, ["a", "b", "c"], "y", "id", kind, group=group)
+        assert found.count() == 600 and 0.88 < metrics.roc_auc(found).first()["roc_auc"] < 0.99
+        if group:
+            folds = found.join(df.select("id", "g"), "id").groupBy("g").agg(F.count_distinct("fold").alias("n"))
+            assert folds.agg(F.max("n")).first()[0] == 1
+    if kind == "logistic":
+        table = learners.introspection(df, ["a", "b", "c"], "y")
+        assert [q for m, q, _ in table if m == "logistic"] == ["coefficient a", "coefficient b", "coefficient c"] and table[3][1] == "importance a"
+        assert [v for m, q, v in table if q == "greatest depth"][0] <= 5
+
+
+def test_average_linkage_equals_a_plain_version(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(14, 5))
+    z = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s, groups = z @ z.T, [[i] for i in range(14)]
+    while len(groups) > 4:
+        a, b = max(itertools.combinations(range(len(groups)), 2), key=lambda p: np.mean([s[i, j] for i in groups[p[0]] for j in groups[p[1]]]))
+        groups = [g for k, g in enumerate(groups) if k not in (a, b)] + [groups[a] + groups[b]]
+    got = learners.average_linkage(spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 4).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["cluster"], set()).add(r["id"])
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups))
+
+
+def test_lsa_equals_a_singular_value_decomposition(spark):
+    rng = np.random.default_rng(13)
+    m = np.abs(rng.normal(size=(9, 20))) * (rng.random((9, 20)) < 0.5)
+    w = spark.createDataFrame([(i, f"t{j}", float(m[i, j])) for i in range(9) for j in range(20) if m[i, j]], "doc_id long, term string, weight double")
+    got = np.array([r["vector"] for r in learners.lsa(w, 4).orderBy("doc_id").collect()])
+    u, d, _ = np.linalg.svd(m)
+    z = u[:, :4] * d[:4]
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    assert got @ got.T == pytest.approx(z @ z.T)
+
+
+def test_nested_neighbours_equal_a_plain_version(spark):
+    rng = np.random.default_rng(14)
+    x, y = rng.normal(size=(80, 4)), None
+    y = (x[:, 0] + 0.3 * rng.normal(size=80) > 0).astype(int)
+    df = spark.createDataFrame([(i, list(map(float, v)), int(t)) for i, (v, t) in enumerate(zip(x, y))], "id long, v array<double>, y int")
+    folds = {r["id"]: r["f"] for r in df.select("id", (hash_unit(F.lit("nest"), F.col("id").cast("string")) % 3).alias("f")).collect()}
+    z = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = z @ z.T
+
+    def auc(asked, pool, k):
+        rows = []
+        for i in asked:
+            near = sorted((j for j in pool(i) if j != i), key=lambda j: (-s[i, j], j))[:k]
+            w = [max(s[i, j], 0) for j in near]
+            rows.append((round(sum(a * y[j] for a, j in zip(w, near)) / sum(w), 9) if sum(w) else 0.5, y[i]))
+        pos, neg = [a for a, t in rows if t], [a for a, t in rows if not t]
+        return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+
+    for r in learners.nested_neighbours(df, "id", "v", F.col("y") == 1, (3, 9), 3).collect():
+        inner = {k: auc([i for i in range(80) if folds[i] != r["fold"]], lambda i: [j for j in range(80) if folds[j] not in (r["fold"], folds[i])], k) for k in (3, 9)}
+        best = max((3, 9), key=lambda k: (inner[k], -k))
+        assert (r["k"], r["inner_auc"]) == (best, pytest.approx(inner[best]))
+        assert r["outer_auc"] == pytest.approx(auc([i for i in range(80) if folds[i] == r["fold"]], lambda i: [j for j in range(80) if folds[j] != r["fold"]], best))
+
+
+def test_adjustment_sets_close_all_back_doors():
+    edges = [("x", "t"), ("x", "y"), ("z", "t"), ("z", "w"), ("w", "y"), ("t", "m"), ("m", "y")]
+
+    def paths(a, b, seen=()):
+        if a == b:
+            yield [b]
+            return
+        for s, d in edges:
+            for n in ({s, d} - {a} if a in (s, d) else ()):
+                if n not in seen and n != a:
+                    for rest in paths(n, b, (*seen, a)):
+                        yield [a, *rest]
+
+    below = {"t": {"m", "y"}, "m": {"y"}, "x": {"t", "y", "m"}, "z": {"t", "w", "y", "m"}, "w": {"y"}, "y": set()}
+
+    def blocked(path, given):
+        for a, v, b in zip(path, path[1:], path[2:]):
+            collider = (a, v) in edges and (b, v) in edges
+            if (not collider and v in given) or (collider and v not in given and not below[v] & given):
+                return True
+        return False
+
+    back = [p for p in paths("t", "y") if (p[1], "t") in edges]
+    sound = [set(c) for n in range(4) for c in itertools.combinations("wxz", n) if all(blocked(p, set(c)) for p in back)]
+    least = [c for c in sound if not any(o < c for o in sound)]
+    assert sorted(map(sorted, effects.adjustment_sets(edges, "t", "y", ["x", "z", "w", "m"]))) == sorted(map(sorted, least)) == [["w", "x"], ["x", "z"]]
+    with pytest.raises(ValueError):
+        effects.adjustment_sets([(f"v{i}", "t") for i in range(20)], "t", "y", [f"v{i}" for i in range(20)])
+
+
+def test_archives_and_bundles(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", x=np.arange(24.0).reshape(4, 2, 3), y=np.arange(12.0).reshape(4, 3))
+    rows = files.npz_replication(spark, str(tmp_path / "a.npz"), 1).orderBy("row").collect()
+    assert [tuple(r) for r in rows] == [(i, 6.0 * i + 1, 6.0 * i + 4, 3.0 * i + 1) for i in range(4)]
+    with pytest.raises(ValueError):
+        files.npz_replication(spark, str(tmp_path / "a.npz"), 3)
+    (tmp_path / "train.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "words.csv").write_bytes("name\ncafé €\n".encode("cp1252"))
+    got = files.bundle(spark, str(tmp_path), {"train": ("k int, v int", "UTF-8"), "words": ("name string", "windows-1252")})
+    assert got["train"].first()["v"] == 2 and got["words"].first()["name"] == "café €"
+    with pytest.raises(ValueError):
+        files.bundle(spark, str(tmp_path), {"train": ("k int, v int", "UTF-8"), "test": ("k int, v int", "UTF-8")})
+
+
 def test_repair_loop_stops_and_keeps_its_journal(spark, tmp_path):
     tasks = spark.range(6).withColumnRenamed("id", "task")
     seen = []
