@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +29,30 @@ def drop_stages(spark: SparkSession) -> int:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read from there."""
-    _shared(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The same as a table, whose size the planner knows: it broadcasts a small one and shuffles to a large one."""
-    path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _shared(spark: SparkSession) -> str:
+def staged_all(frames: Iterable[DataFrame], spark: SparkSession, schema: str, name: str) -> DataFrame:
+    """Frames of one schema, each made and written before the next is asked for, as one table."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    written.append(path)
+    found = False
+    for df in frames:
+        df.write.mode("append").parquet(path)
+        found = True
+    return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
+
+
+def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder; one is made only where the session names none (local mode)."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)

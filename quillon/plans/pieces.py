@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import hash_unit
-from quillon.io import _shared, staged, table
+from quillon.io import shared_dir, staged, table
 from quillon.operators import graph, metrics, nested, retrieval
 from quillon.plans.registry import query, rounded
 from quillon.plans.resampling import _h
@@ -16,7 +16,7 @@ from quillon.sources import files
 
 
 def _folder(spark, name: str) -> str:
-    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- scans and sinks ----
