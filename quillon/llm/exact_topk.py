@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.io import staged_all
 from quillon.llm.common import staged
 from quillon.llm.text_arrays import releasing
 
@@ -109,11 +110,8 @@ def _costs(scores: np.ndarray, real: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lists(candidates: DataFrame, chunk: pa.Table, width: int, kind, k: int) -> DataFrame:
-    """The k best of each query of the chunk in each partition of the candidates."""
-    ids = np.asarray(chunk.column("vec_id"), np.int64)
-    queries = _matrix(chunk.column("v").combine_chunks(), width, kind)
-    sent = candidates.sparkSession.sparkContext.broadcast((ids, queries))  # about CHUNK_BYTES
+def _lists(candidates: DataFrame, sent, width: int, kind, k: int) -> DataFrame:
+    """The k best of each query of a chunk (ids and vectors, broadcast) in each partition of the candidates."""
 
     def run(batches):
         lists = None
@@ -145,13 +143,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_
     n_chunks = -(-asked.count() * max(width, 2 * k) * np.dtype(kind).itemsize // CHUNK_BYTES)
     if not n_chunks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks))
-    lists = None
-    for n in range(n_chunks):
-        chunk = asked.where(place == n).toArrow()
-        if len(chunk):
-            found = staged(_lists(candidates, chunk, width, kind, k), "top-lists")
-            lists = found if lists is None else lists.unionByName(found)
+
+    def found():
+        for n in range(n_chunks):
+            chunk = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)) == n).toArrow()
+            if len(chunk):
+                sent = spark.sparkContext.broadcast((np.asarray(chunk.column("vec_id"), np.int64), _matrix(chunk.column("v").combine_chunks(), width, kind)))  # about CHUNK_BYTES
+                yield _lists(candidates, sent, width, kind, k)
+                sent.unpersist()  # its lists are written
+
+    lists = staged_all(found(), spark, _LISTS, "top-lists")
     left = (lists.agg(F.max("tile")).first()[0] or 0) + 1  # tiles have the numbers of the tasks' partitions
     while True:
         lists = lists.groupBy("query_id", F.floor(F.col("tile") / FAN_IN).cast("int").alias("tile")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
