@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.io import checkpointed
+from quillon.io import checkpointed, staged
 
 
 def from_mapping(spark: SparkSession, data: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
@@ -61,14 +61,17 @@ def audit(edges: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the smallest node of its component) of the nodes on edges (a, b). Labels spread along edges and jump to their label's label; each round is checkpointed."""
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")))
+    """node and label (the smallest node of its component) of the nodes on edges (a, b).
+
+    Labels spread along edges and then jump to the label's label, so rounds grow with the logarithm of a component's width. Each round is a written table, of which the planner knows the size.
+    """
+    both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct(), "edges")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = checkpointed(met.join(far, "label").select("node", "old", F.least("label", "far").alias("label")))
+        moved = staged(met.join(far, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
         if not moved.where("label != old").limit(1).count():
             return moved.select("node", "label")
         labels = moved.select("node", "label")
