@@ -222,11 +222,13 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .where("positive or hidden")
         .select(*_MARKS, "text")
     )
-    found = _featured(rows).toPandas()  # about max_fit rows of each kind
-    found = found.iloc[np.lexsort([*np.stack(found["x"].to_numpy()).T, found["draw"]])] if len(found) else found
-    if not found["positive"].any():
+    found = _featured(rows).toArrow()  # about max_fit rows of each kind
+    x = np.asarray(found.column("x").combine_chunks().flatten()).reshape(-1, N_FEATURES)
+    draw, positive, hidden = (found.column(c).to_numpy(zero_copy_only=False) for c in _MARKS) if len(found) else (np.zeros(0),) * 3
+    if not positive.any():
         return None
-    x, positive, hidden, half = np.stack(found["x"].to_numpy()), found["positive"].to_numpy(bool), found["hidden"].to_numpy(bool), found["draw"].to_numpy() % 2 == 0
+    order = np.lexsort([*x.T, draw])  # the same on any cluster
+    x, positive, hidden, half = x[order], positive[order].astype(bool), hidden[order].astype(bool), draw[order] % 2 == 0
     if not hidden.any():
         hidden = positive
     return fit(x, positive, hidden, class_prior(x, positive, hidden, half))
