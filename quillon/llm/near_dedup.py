@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import staged
 from quillon.llm.text_arrays import PIECE, lengths, mixed, releasing, slices, text_windows
+from quillon.operators.graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -205,8 +206,9 @@ def document_weights(texts: DataFrame, idf_share: float = IDF_SHARE) -> Weights:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(many, pa.int64())], ["shingle", "df"])
 
     exact = texts.select("text").mapInArrow(releasing(count), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= floor)
-    rows = exact.toPandas()  # at most 1 / COMMON times a document's mean number of shingles
-    shingles, df = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(np.int64)
+    rows = exact.toArrow()  # at most 1 / COMMON times a document's mean number of shingles
+    shingles, df = (rows.column(c).to_numpy().astype(np.int64) for c in ("shingle", "df"))
+    shingles = shingles.view(np.uint64)
     order, marked = np.argsort(shingles), np.zeros(SKETCH, bool)
     marked[_counter(shingles)] = True
     return Weights(rare, shingles[order], idf_factor(df[order], n, idf_share), marked)
@@ -236,10 +238,9 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
 
 def large_keys(sized: DataFrame, *keys: str, least: int = LARGE) -> DataFrame | None:
     """Of a table with one row (keys, size) for each key: those that more than least rows share, and more than a MAX_LARGE-th of all rows, so that they are fewer than MAX_LARGE; None if there are none."""
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    found = sized.where(F.col("size") > max(least, total // MAX_LARGE)).select(*keys, "size")
-    found = staged(found.coalesce(1), "large")
-    return found if found.limit(1).count() else None
+    total, most = sized.agg(F.sum("size"), F.max("size")).first()
+    threshold = max(least, (total or 0) // MAX_LARGE)
+    return staged(sized.where(F.col("size") > threshold).select(*keys, "size").coalesce(1), "large") if (most or 0) > threshold else None
 
 
 def joined(rows: DataFrame, other: DataFrame, large: DataFrame | None, *keys: str) -> DataFrame:
@@ -361,23 +362,6 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return both.select("x", "y", "x_text", "y_text").mapInArrow(releasing(compare), "x long, y long, similarity double")
 
 
-# ---- components ----
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, label of the nodes on edges (a, b): label is the smallest node of the component. Labels spread along edges and then jump to the label's label, so rounds grow with the logarithm of a component's width."""
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jumped = met.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", "old", F.least("label", "far").alias("label"))
-        jumped = staged(jumped, "labels")
-        if not jumped.where("label != old").limit(1).count():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
-
-
 # ---- links that pivots don't show ----
 
 
