@@ -198,14 +198,14 @@ def relation_terms(spark, sf_dir):
     return rounded(f.groupBy("claim").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("product").alias("product_sum"), F.sum("gap").alias("gap_sum")))
 
 
-_SITES = f"""s AS (SELECT p_partkey AS crystal, k AS site, 3.0::DOUBLE + (p_size % 5) * 0.25 AS a, {_h(chr(39) + 'x' + chr(39), 'p_partkey', 'k')} % 8 / 8.0::DOUBLE AS x, {_h(chr(39) + 'y' + chr(39), 'p_partkey', 'k')} % 8 / 8.0::DOUBLE AS y, {_h(chr(39) + 'z' + chr(39), 'p_partkey', 'k')} % 8 / 8.0::DOUBLE AS z FROM part, (SELECT unnest(range(0, 3)) AS k) r WHERE p_partkey % 5 = 0)"""
+_SITES = f"""s AS (SELECT p_partkey AS crystal, k AS site, 3.0::DOUBLE + (p_size % 5) * 0.25 AS a, {_h(chr(39) + 'x' + chr(39), 'p_partkey', 'k')} % 8 / 8.0::DOUBLE AS x, {_h(chr(39) + 'y' + chr(39), 'p_partkey', 'k')} % 8 / 8.0::DOUBLE AS y, {_h(chr(39) + 'z' + chr(39), 'p_partkey', 'k')} % 8 / 8.0::DOUBLE AS z FROM part, (SELECT unnest(range(0, 3)) AS k) r)"""
 
 
 @query(f"""WITH {_SITES}, i AS (SELECT unnest(range(-1, 2)) AS i), n AS (SELECT p.crystal, p.site AS src, q.site AS dst, i.i AS i, j.i AS j, k.i AS k, p.a * sqrt((q.x + i.i - p.x) ** 2 + (q.y + j.i - p.y) ** 2 + (q.z + k.i - p.z) ** 2) AS dist FROM s p JOIN s q ON q.crystal = p.crystal, i, i j, i k),
 r AS (SELECT *, row_number() OVER (PARTITION BY crystal, src ORDER BY round(dist, 6), dst, i, j, k) AS place FROM n WHERE dist <= 3.2 AND NOT (src = dst AND i = 0 AND j = 0 AND k = 0)) SELECT crystal, src::INTEGER AS src, dst::INTEGER AS dst, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, round(dist, 6) AS dist FROM r WHERE place <= 6""")
 def crystal_graph(spark, sf_dir):
-    """Neighbours of sites within a cutoff, over the periodic images of a cubic cell, six a site at most (a fifth of the parts stand for crystals)."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("crystal"), (3.0 + (F.col("p_size") % 5) * 0.25).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("site"))
+    """Neighbours of sites within a cutoff, over the periodic images of a cubic cell, six a site at most (parts stand for crystals)."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("crystal"), (3.0 + (F.col("p_size") % 5) * 0.25).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("site"))
     at = lambda c: (hash_unit(F.lit(c), F.col("crystal").cast("string"), F.col("site").cast("string")) % 8 / 8.0)
     zero = F.lit(0.0)
     cell = F.array(F.array("a", zero, zero), F.array(zero, F.col("a"), zero), F.array(zero, zero, F.col("a")))
