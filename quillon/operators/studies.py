@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import hash_unit
@@ -96,6 +96,15 @@ def check_folds(folds: DataFrame, key: str, whole: DataFrame) -> DataFrame:
     return out.withColumn("sound", F.col("n_shared") + F.col("n_several") + F.col("n_untested") + F.col("n_unknown") == 0)
 
 
+def fold_inputs(folds: DataFrame, rows: DataFrame, key: str, fold: int) -> tuple[DataFrame, DataFrame]:
+    """The train and test rows of one fold of a bundle (fold, part, key); a fold without either is refused."""
+    mine = folds.where(F.col("fold") == fold)
+    train, test = (rows.join(mine.where(F.col("part") == part).select(key), key, "left_semi") for part in ("train", "test"))
+    if not train.limit(1).count() or not test.limit(1).count():
+        raise ValueError(f"fold {fold} is not whole")
+    return train, test
+
+
 # ---- effects ----
 
 
@@ -161,6 +170,50 @@ def repair_loop(tasks: DataFrame, attempt: Callable[[DataFrame, int], DataFrame]
     return found
 
 
+def run_study(tasks: DataFrame, arms: dict[str, Callable[[DataFrame], DataFrame]], key: str, cost: str, cap: float, journal: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Attempts of all arms, one arm after the other and by key in an arm, as far as the running cost stays within the cap: arm, the attempts' columns and spent (cost so far).
+
+    An arm's attempts are written before the next begins, and passed to the journal; no arm begins once the cap is reached. Running costs add up inside ranges of the key first.
+    """
+    found, spent = None, 0.0
+    for name, attempt in arms.items():
+        made = checkpointed(attempt(tasks).withColumn("arm", F.lit(name)))
+        upto = running_total(made, key, cost).withColumn("spent", F.col("_total") + F.lit(spent)).drop("_total")
+        kept = checkpointed(upto.where(F.col("spent") <= cap))
+        if journal is not None:
+            journal(kept)
+        found = kept if found is None else found.unionByName(kept)
+        total = made.agg(F.coalesce(F.sum(cost), F.lit(0.0))).first()[0]
+        spent += float(total)
+        if spent >= cap:
+            break
+    return found
+
+
+def running_total(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds _total: the sum of value over rows up to this one in the order of a unique key."""
+    parts = checkpointed(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
+    before = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).drop("_s")  # a row for each range
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(F.broadcast(before), "_part").withColumn("_total", F.col("_before") + inside).drop("_part", "_before")
+
+
+def counterexample(spark: SparkSession, names: list[str], numerators: list[int], denominator: int, holds: str, observed: str) -> DataFrame:
+    """The first point of a grid of fractions at which a claim fails: numerators of each variable, and the observed value.
+
+    Variables are the numerators over one denominator (d in the expressions), so claims in whole numbers (holds and observed, SQL over names and d) are exact. The grid is a range; no point is a row before it is tested.
+    """
+    n = len(numerators)
+    values = F.array(*[F.lit(v).cast("long") for v in numerators])
+    grid = spark.range(n ** len(names))
+    for k, name in enumerate(names):  # the last variable changes fastest
+        grid = grid.withColumn(name, F.get(values, (F.floor(F.col("id") / n ** (len(names) - 1 - k)) % n).cast("int")))
+    failing = grid.withColumn("d", F.lit(denominator).cast("long")).where(f"NOT ({holds})").withColumn("observed", F.expr(observed))
+    first = failing.agg(F.min_by(F.struct(*names, "d", "observed"), "id").alias("p")).where("p IS NOT NULL")
+    return first.select("p.*")
+
+
 def acquire(pool: DataFrame, key: str, first: int, batch: int, rounds: int, score: Callable[[DataFrame, DataFrame], Column], seed: str) -> DataFrame:
     """Active learning in rounds: a hash-ordered start, then in each round the ``batch`` of greatest score (ties by hash, then key) among the rest; score(pool, chosen) may look at what is chosen. Gives key, round and place.
 

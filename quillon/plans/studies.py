@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import hash_unit, tokens
 from quillon.io import staged, table
-from quillon.operators import causal, forecasting, nested, pca, studies
+from quillon.operators import causal, forecasting, learners, nested, pca, studies
 from quillon.plans.causal import _FRAME, frame
 from quillon.plans.registry import query, rounded
 from quillon.plans.resampling import _h
@@ -219,6 +219,38 @@ def repair_attempts(spark, sf_dir):
     return studies.repair_loop(tasks, attempt, "conv_id", 4)
 
 
+@query(f"""WITH t AS (SELECT DISTINCT conv_id FROM conversations), a AS (SELECT arm, conv_id, {_h(_quoted('cost'), 'arm', 'conv_id')} % 100 AS cents, {_h(_quoted('won'), 'arm', 'conv_id')} % 2 = 0 AS success FROM t, (SELECT unnest(['plain', 'guided', 'repaired']) AS arm) k),
+r AS (SELECT *, sum(cents) OVER (ORDER BY CASE arm WHEN 'plain' THEN 0 WHEN 'guided' THEN 1 ELSE 2 END, conv_id) AS spent FROM a) SELECT arm, conv_id, cents, success, spent::DOUBLE AS spent FROM r WHERE spent <= 7000""")
+def study_run(spark, sf_dir):
+    """A study of three arms under a cost cap, with the running cost of each attempt."""
+    tasks = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+
+    def arm(name):
+        draw = lambda what: hash_unit(F.lit(what), F.lit(name), F.col("conv_id").cast("string"))
+        return lambda left: left.select("conv_id", (draw("cost") % 100).alias("cents"), (draw("won") % 2 == 0).alias("success"))
+
+    return studies.run_study(tasks, {name: arm(name) for name in ("plain", "guided", "repaired")}, "conv_id", "cents", 7000.0)
+
+
+@query("WITH v AS (SELECT unnest(range(1, 13)) AS v), g AS (SELECT x.v AS a, y.v AS b, 6 AS d FROM v x, v y) SELECT a, b, d::BIGINT AS d, (a * a + b * b - 2 * a * b + 2 * (a + b) - 4 * d)::BIGINT AS observed FROM g WHERE NOT (a * a + b * b - 2 * a * b + 2 * (a + b) >= 4 * d) ORDER BY a, b LIMIT 1")
+def fraction_grid(spark, sf_dir):
+    """First pair of sixths at which a claim about them fails, in whole numbers (the first point is the feature)."""
+    claim = "a * a + b * b - 2 * a * b + 2 * (a + b)"
+    return studies.counterexample(spark, ["a", "b"], list(range(1, 13)), 6, f"{claim} >= 4 * d", f"{claim} - 4 * d")
+
+
+@query()
+def structure_baseline(spark, sf_dir):
+    """A forest on the descriptors of strings of atoms, judged on held-out folds (a baseline of a structure study)."""
+    pieces, k = F.array(*map(F.lit, _PIECES)), F.col("p_partkey")
+    piece = lambda at: F.get(pieces, (at % 12).cast("int"))
+    s = table(spark, sf_dir, "part").select("p_partkey", F.concat(piece(k), piece(F.floor(k / 12)), piece(k * 7)).alias("s"))
+    d = {n: F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in studies.string_descriptors(F.col("s")).items()}
+    rows = s.select("p_partkey", *[c.alias(n) for n, c in d.items()], (F.get(pieces, (F.floor(k / 12) % 12).cast("int")).contains("N")).cast("int").alias("nitrogen"))
+    scores = learners.held_out_scores(rows, [n for n in d if n != "share_n"], "nitrogen", "p_partkey", "forest")
+    return rounded(scores.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")).alias("accuracy")))
+
+
 def _rounds_sql(rounds: int) -> str:
     parts = [f"p AS (SELECT vec_id, embedding[1]::DOUBLE AS e, {_h(_quoted('al'), 'vec_id')} AS h FROM embeddings)", "c0 AS (SELECT vec_id, e, 0 AS round, row_number() OVER (ORDER BY h, vec_id) AS place FROM p ORDER BY h, vec_id LIMIT 20)"]
     for r in range(1, rounds + 1):

@@ -302,6 +302,36 @@ def test_acquire_rounds_and_random_policy(spark):
     assert len(again) == 5 and not {r["id"] for r in again} & start
 
 
+def test_study_stops_at_its_cap(spark, tmp_path):
+    tasks, begun = spark.range(20).withColumnRenamed("id", "task").repartition(5), []
+
+    def arm(name, cost):
+        def attempt(left):
+            begun.append(name)
+            return left.select("task", F.lit(cost).alias("usd"))
+
+        return attempt
+
+    found = studies.run_study(tasks, {"a": arm("a", 1.0), "b": arm("b", 2.0), "c": arm("c", 1.0)}, "task", "usd", 35.0, journal=lambda made: files.append_journal(made, str(tmp_path / "j"))).collect()
+    assert begun == ["a", "b"] and {(r["arm"], r["task"], r["spent"]) for r in found} == {("a", i, i + 1.0) for i in range(20)} | {("b", i, 22.0 + 2 * i) for i in range(7)}
+    assert spark.read.json(str(tmp_path / "j")).count() == len(found)
+
+
+def test_counterexamples_of_claims(spark):
+    first = studies.counterexample(spark, ["x", "y"], [-1, 0, 1, 2, 3], 2, "x * x + y * y >= x * d OR y > 0", "x * x + y * y - x * d").first()
+    assert (first["x"], first["y"], first["observed"]) == (1, 0, -1)
+    assert studies.counterexample(spark, ["x"], list(range(-9, 10)), 4, "x * x >= 0", "x").count() == 0
+
+
+def test_fold_inputs(spark):
+    rows = spark.range(6).withColumnRenamed("id", "k")
+    folds = rows.select("k", F.lit(0).alias("fold"), F.when(F.col("k") < 2, "test").otherwise("train").alias("part"))
+    train, test = studies.fold_inputs(folds, rows, "k", 0)
+    assert train.count() == 4 and test.count() == 2
+    with pytest.raises(ValueError):
+        studies.fold_inputs(folds, rows, "k", 1)
+
+
 def test_graph_from_mapping(spark):
     variables, edges = graph.from_mapping(spark, {"variables": [{"name": "x", "time_order": 0}, {"name": "t", "role": "treatment", "time_order": 1}, {"name": "y", "observed": False}], "edges": [["x", "t"], ["t", "y"], ["x", "t"]]})
     assert variables.count() == 3 and [tuple(r) for r in edges.collect()] == [("t", "y"), ("x", "t")]
