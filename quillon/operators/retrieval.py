@@ -25,9 +25,15 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
+def _spread(corpus: DataFrame) -> DataFrame:
+    """The corpus in as many partitions as there are cores, where its files give fewer (a few small files): tokenising is what costs. Larger inputs stay where they are."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(cores, "doc_id") if corpus.rdd.getNumPartitions() < cores else corpus
+
+
 def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """term, doc_id, tf and dl (tokens of the document), and for each document with tokens a row with the empty term. only: a table with the terms to index; others are dropped before anything is counted."""
-    t = corpus.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    t = _spread(corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     rows = t.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
     if only is not None:
         rows = rows.join(only.select("term").union(only.sparkSession.range(1).select(F.lit(""))).distinct(), "term", "left_semi")
